@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, packing, recompression
+from . import content_store, decontaminate, licences, packing, personal_data, quality_knn, quality_rules, recompression
 from .shared import documents
 
 
@@ -15,8 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_recompression": lambda spark, sf_dir: recompression.op1(spark, documents(spark, sf_dir)),
         "op3_packing": lambda spark, sf_dir: packing.op3(spark, documents(spark, sf_dir)),
         "op4_content_store": lambda spark, sf_dir: content_store.op4(spark, documents(spark, sf_dir)),
+        "op5_quality_rules": quality_rules.op5,
+        "op6_quality_knn": quality_knn.op6,
+        "op7_decontamination": decontaminate.op7,
+        "op8_licences": lambda spark, sf_dir: licences.op8(spark, documents(spark, sf_dir)),
+        "op10_personal_data": lambda spark, sf_dir: personal_data.op10(spark, documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licences": licences.sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, decontaminate, licences, packing, personal_data, quality_knn, quality_rules, recompression
+from . import content_store, decontaminate, jaccard_join, licences, packing, personal_data, quality_knn, quality_rules, recompression
 from .shared import documents
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_knn": quality_knn.op6,
         "op7_decontamination": decontaminate.op7,
         "op8_licences": lambda spark, sf_dir: licences.op8(spark, documents(spark, sf_dir)),
+        "op9_jaccard_join": lambda spark, sf_dir: jaccard_join.op9(spark, documents(spark, sf_dir)),
         "op10_personal_data": lambda spark, sf_dir: personal_data.op10(spark, documents(spark, sf_dir)),
     }
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import documents
 from .words import U64, by_size, hash_strings, span_hash, split_words
 
+FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
 SHORTEST, LONGEST, RARE, THRESHOLD = 3, 8, 1e-8, 0.5
 ITEM_BYTES = 16 << 20
 FILTER_BITS = 20
@@ -195,38 +196,59 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(total[used], len(codes)))], names=["word", "n"])
 
 
-FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each passage of a document that copies an item: doc_id, item_id, score, start_word, end_word."""
+def prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator:
+    """Broadcast items with their seeds, block by block."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
+    texts = docs.select(F.col("text").cast("string").alias("text"))
     for block in _blocks(benchmark):
         ids, words, vocabulary = read_items(block)
         shared = spark.sparkContext.broadcast(vocabulary)
         # one row for each word of the block's vocabulary at most
-        counted = {r.word: r.n for r in rows.select("text").mapInArrow(lambda it, v=shared: _count(it, v), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        counted = {r.word: r.n for r in texts.mapInArrow(lambda it, v=shared: _count(it, v), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         counts = np.array([counted.get(k, 0) for k in range(len(vocabulary))], dtype=np.float64)
-        items = spark.sparkContext.broadcast(make_seeds(ids, words, vocabulary, counts, counted.get(-1, 0)))
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            own = items.value
-            schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
-            for batch in batches:
-                for part in by_size(batch):
-                    codes, offsets, place, hashes = normal_words(part["text"])
-                    got = find(own, codes, offsets, hashes)
-                    if got:
-                        d, it, score, a, b = (np.array(x) for x in zip(*got, strict=True))
-                        docs = part["doc_id"].combine_chunks().take(pa.array(d))
-                        yield pa.RecordBatch.from_arrays([docs, pa.array([own.ids[k] for k in it], pa.int64()), pa.array(score), pa.array(place[a]), pa.array(place[b - 1] + 1)], schema=schema)
-
-        part = rows.mapInArrow(run, FOUND)
+        yield spark.sparkContext.broadcast(make_seeds(ids, words, vocabulary, counts, counted.get(-1, 0)))
+
+
+def _report(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
+    own = items.value
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
+    for batch in batches:
+        for part in by_size(batch):
+            codes, offsets, place, hashes = normal_words(part["text"])
+            got = find(own, codes, offsets, hashes)
+            if got:
+                d, it, score, a, b = (np.array(x) for x in zip(*got, strict=True))
+                docs = part["doc_id"].combine_chunks().take(pa.array(d))
+                yield pa.RecordBatch.from_arrays([docs, pa.array([own.ids[k] for k in it], pa.int64()), pa.array(score), pa.array(place[a]), pa.array(place[b - 1] + 1)], schema=schema)
+
+
+def _keep_clean(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
+    own = items.value
+    for batch in batches:
+        for part in by_size(batch):
+            codes, offsets, _, hashes = normal_words(part["text"])
+            clean = np.ones(part.num_rows, dtype=bool)
+            clean[[row[0] for row in find(own, codes, offsets, hashes)]] = False
+            yield from part.filter(pa.array(clean)).combine_chunks().to_batches()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each passage of a document that copies an item: doc_id, item_id, score, start_word, end_word."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = None
+    for items in prepared(docs, benchmark):
+        part = rows.mapInArrow(lambda it, items=items: _report(it, items), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that copy no item, with all their columns."""
+    out = docs
+    for items in prepared(docs, benchmark):
+        out = out.mapInArrow(lambda it, items=items: _keep_clean(it, items), docs.schema)
+    return out
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

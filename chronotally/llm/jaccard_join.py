@@ -263,5 +263,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     return out.select("doc_id", "tie", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class: of its smallest doc_id, then text hash; all without words stay."""
+    key = F.xxhash64("text")
+    tie = next(name for name in (f"tie{k}" for k in range(len(docs.columns) + 1)) if name not in docs.columns)
+    firsts = near_duplicates(docs).where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
+    # classes of null ids only can't be told apart by their id: each distinct text stays
+    firsts = firsts.where("class_id is not null").select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
+    some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    named = docs.where(some & F.col("doc_id").isNotNull()).withColumn(tie, key)
+    kept = named.join(firsts, (named["doc_id"].cast("long") == firsts["first_id"]) & (named[tie] == firsts["first_tie"]), "left_semi").dropDuplicates(["doc_id", tie]).drop(tie)
+    return kept.unionByName(docs.where(some & F.col("doc_id").isNull()).dropDuplicates(["text"])).unionByName(docs.where(~some))
+
+
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).drop("tie")

@@ -156,6 +156,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose score is 0.5 or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in by_size(batch, most=2 << 20):
+                good = [model.scores(term_counts(part.slice(at, BLOCK)["text"])) >= 0.5 for at in range(0, part.num_rows, BLOCK)]
+                yield from part.filter(pa.array(np.concatenate(good))).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from . import crc
@@ -194,14 +195,20 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _check_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each recipe's chunks with the ids that follow them in the document, after its Merkle root was found right."""
-    schema = pa.schema([("start", pa.int64()), ("chunk_id", pa.binary()), ("ids_after", pa.int64())])
     for batch in batches:
-        for start, n, root, recipe in zip(*(batch[c].to_pylist() for c in ("start", "n_tokens", "root", "recipe")), strict=True):
-            names = [x["chunk_id"] for x in recipe]
-            if merkle(names) != root:
-                raise ValueError(f"the recipe at {start} doesn't match its Merkle root")
-            after = n - np.cumsum([x["n_ids"] for x in recipe])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), start), pa.int64()), pa.array(names, pa.binary()), pa.array(after, pa.int64())], schema=schema)
+        recipe = batch["recipe"]
+        chunks = recipe.flatten()
+        names, sizes = chunks.field("chunk_id"), chunks.field("n_ids").to_numpy().astype(np.int64)
+        counts = np.asarray(pc.list_value_length(recipe)).astype(np.int64)
+        ends = np.cumsum(counts)
+        plain = names.to_pylist()
+        for a, b, root in zip((ends - counts).tolist(), ends.tolist(), batch["root"].to_pylist(), strict=True):
+            if merkle(plain[a:b]) != root:
+                raise ValueError("a recipe doesn't match its Merkle root")
+        before = np.cumsum(sizes)
+        firsts = np.concatenate([[0], before])[ends - counts]
+        after = np.repeat(batch["n_tokens"].to_numpy() + firsts, counts) - before
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["start"].to_numpy(), counts)), names, pa.array(after)], names=["start", "chunk_id", "ids_after"])
 
 
 def read_digests(spark: SparkSession, store: Store) -> DataFrame:

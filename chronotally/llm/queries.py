@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_store, decontaminate, jaccard_join, licences, packing, personal_data, quality_knn, quality_rules, recompression
+from . import attention_lm, content_store, decontaminate, jaccard_join, licences, packing, personal_data, quality_knn, quality_rules, recompression
 from .shared import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_recompression": lambda spark, sf_dir: recompression.op1(spark, documents(spark, sf_dir)),
+        "op2_attention_lm": lambda spark, sf_dir: attention_lm.op2(spark, documents(spark, sf_dir)),
         "op3_packing": lambda spark, sf_dir: packing.op3(spark, documents(spark, sf_dir)),
         "op4_content_store": lambda spark, sf_dir: content_store.op4(spark, documents(spark, sf_dir)),
         "op5_quality_rules": quality_rules.op5,

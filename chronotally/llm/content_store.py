@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 from . import crc
 from .shared import discard, new_path
 from .subwords import append_id, encoder, vocabulary_path
-from .words import U64, by_size, mix, powers
+from .words import by_size
 
-WINDOW, AVERAGE, LONGEST = 16, 256, 4096
+WINDOW, AVERAGE, LONGEST = 16, 512, 8192
 DIGEST = 16
 
 
@@ -66,12 +66,14 @@ def chunk_ends(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     A cut depends on the 16 ids before it only, so it is found again in any other
     document that holds them.
     """
-    n = len(ids)
-    value = mix((ids.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-    total = np.concatenate([np.zeros(1, U64), np.cumsum(value * powers(0, n), dtype=U64)])
-    ends = np.arange(WINDOW, n + 1)
-    rolled = mix((total[ends] - total[ends - WINDOW]) * powers(0, n + 1, inverse=True)[ends - WINDOW])
-    cuts = np.unique(np.concatenate([ends[rolled % U64(AVERAGE) == 0], offsets[1:]]))
+    # gear hash of the last 16 ids: each id's own mark, shifted by its distance; spans of 2, 4, 8, 16 by doubling
+    rolled, span = ids * np.uint32(0x9E3779B1), 1
+    rolled ^= rolled >> np.uint32(15)
+    while span < WINDOW:
+        rolled = rolled[span:] + (rolled[:-span] << np.uint32(span))
+        span *= 2
+    ends = np.flatnonzero(rolled >> np.uint32(16) < (1 << 16) // AVERAGE) + WINDOW
+    cuts = np.unique(np.concatenate([ends, offsets[1:]]))
     cuts = cuts[cuts > 0]
     starts = np.concatenate([[0], cuts[:-1]])
     if (cuts - starts).max(initial=0) > LONGEST:

@@ -194,8 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(spark)
-    blocks = max(4 * width, size // BLOCK_BYTES)
-    buckets = max(2 * width, size // (64 << 20))
+    blocks = max(width, size // BLOCK_BYTES)
+    buckets = max(width, size // (64 << 20))
     rows = dealt(docs, blocks)
 
     def names(table: pa.Table) -> pa.Table:

@@ -84,7 +84,12 @@ def plain(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One contiguous array of strings; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    return pc.fill_null(texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts, "")
+    if not pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    if len(texts) and np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset]:
+        # some string kernels misread an array whose values don't start at 0, as those of a slice
+        texts = pa.concat_arrays([texts, pa.array([], texts.type)])
+    return pc.fill_null(texts, "")
 
 
 def encode_split(split: pa.Array, drop_empty: bool) -> Words:

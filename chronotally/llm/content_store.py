@@ -90,7 +90,7 @@ def _encode(path: str, end_id: int, wide: bool):
         tool = encoder(path, spaces=True)
         schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("recipe", pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32())]))), ("payload", pa.list_(pa.binary()))])
         for batch in batches:
-            for part in by_size(batch, most=4 << 20):
+            for part in by_size(batch, most=8 << 20):
                 ids, offsets, _, _ = tool.encode(part["text"])
                 ids, offsets = append_id(ids, offsets, end_id)
                 ends = chunk_ends(ids, offsets)

@@ -44,6 +44,10 @@ def byte_signs() -> dict[int, str]:
     return signs
 
 
+def strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     def __init__(self, path: str, spaces: bool):
         from tokenizers import Tokenizer
@@ -84,17 +88,19 @@ class Encoder:
     def _remembered(self, pieces: list[str], make) -> list[bytes]:
         """Ids of distinct pieces; frequent ones outlive the change of generation."""
         memo, old = self.memo, self.old
-        new = [p for p in pieces if p not in memo]
-        kept = [p for p in new if p in old]
-        memo.update(zip(kept, map(old.__getitem__, kept), strict=True))
-        if kept:
-            new = [p for p in new if p not in old]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            memo.update(zip(part, make(part), strict=True))
-        out = list(map(memo.__getitem__, pieces))
-        if len(memo) > REMEMBERED:
-            self.memo, self.old = {}, memo
+        out = list(map(memo.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing:
+            names = [pieces[i] for i in missing]
+            kept = list(map(old.get, names))
+            new = [n for n, x in zip(names, kept, strict=True) if x is None]
+            made = (x for at in range(0, len(new), 10_000) for x in make(new[at : at + 10_000]))
+            found = [next(made) if x is None else x for x in kept]
+            memo.update(zip(names, found, strict=True))
+            for i, x in zip(missing, found, strict=True):
+                out[i] = x
+            if len(memo) > REMEMBERED:
+                self.memo, self.old = {}, memo
         return out
 
     def _table(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +114,12 @@ class Encoder:
         else:
             letters = pc.utf8_lower(letters)
         units, tails = letters.dictionary_encode(), signs.dictionary_encode()
-        hard = [w if not self.spaces or w[:1] == "\n" else " " + w for w in vocab.filter(pa.array(~easy)).to_pylist()]
-        tail_list = tails.dictionary.to_pylist()
-        parts = [[np.array(self.stop, np.uint32).tobytes() if self.spaces else b""], self._remembered(units.dictionary.to_pylist(), self._letters), self._whole(tail_list), self._whole(hard)]
+        hard = [w if not self.spaces or w[:1] == "\n" else " " + w for w in strings(vocab.filter(pa.array(~easy)))]
+        tail_list = strings(tails.dictionary)
+        parts = [[np.array(self.stop, np.uint32).tobytes() if self.spaces else b""], self._remembered(strings(units.dictionary), self._letters), self._whole(tail_list), self._whole(hard)]
         sizes = np.cumsum([0, *map(len, parts)])
         flat = b"".join(b"".join(p) for p in parts)
-        counts = np.fromiter((len(x) for p in parts for x in p), dtype=np.int64, count=int(sizes[-1])) // 4
+        counts = np.concatenate([np.fromiter(map(len, p), dtype=np.int64, count=len(p)) for p in parts]) // 4
         starts = np.cumsum(counts) - counts
         # up to three entries for each word: the line feed, the letters or the hard word, the signs
         entry = np.full((len(vocab), 3), -1, dtype=np.int64)

@@ -3,7 +3,7 @@
 A text's set holds its distinct runs of five words (a shorter text has one: all its words). Equal sets are one class from the start.
 Each set samples about ``SAMPLED`` of its tokens by a hash of the token against a threshold that falls with the set's size (a set
 of fewer tokens keeps all); these are the first steps of all runs at once, and a pair of similarity ``threshold`` shares none of them with
-a chance below exp(-threshold * SAMPLED), about 1e-8, which is the recall that the runs aim at. The sets that chose a token form a
+a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash); a larger one is split: each
 of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average.
 After ``DEPTH`` steps the sets of a bucket share so many random tokens that it is kept together without comparing.
@@ -29,7 +29,7 @@ from .shared import shuffle_width, stage
 from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_words
 
 GRAM, THRESHOLD = 5, 0.8
-SAMPLED, SMALL, BRANCH, DEPTH, BLOCK = 23.0, 64, 2.0, 4, 512
+SAMPLED, SMALL, BRANCH, DEPTH, BLOCK = 18.0, 128, 1.5, 3, 512
 BINS, SKETCH_AT = 128, 0.55
 BROADCAST_ROWS = 500_000
 
@@ -96,8 +96,28 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=1) >= SKETCH_AT * np.maximum(either, 1)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, vertex) for each vertex of the pairs but the roots: stars with the same components."""
+    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = where[: len(a)], where[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[x], label[y])
+        moved = label.copy()
+        np.minimum.at(moved, label[x], least)
+        np.minimum.at(moved, label[y], least)
+        moved = moved[moved]
+        if (moved == label).all():
+            break
+        label = moved
+    while (label[label] != label).any():
+        label = label[label]
+    others = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[others]], names[others]
+
+
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (path, vid, sketch) ordered by path: pairs of a bucket with like sketches, each once in a batch."""
+    """Rows (path, vid, sketch) ordered by path: the pairs of a bucket with like sketches, thinned to a forest with the same components."""
     held: pa.Table | None = None
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -112,8 +132,9 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 some = at[k : k + (1 << 15)]
                 some = some[_alike(marks[some], marks[some + gap])]
                 found.append(np.stack([np.minimum(vid[some], vid[some + gap]), np.maximum(vid[some], vid[some + gap])]))
-        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+        least, most = forest(both[0], both[1])
+        return pa.RecordBatch.from_arrays([pa.array(least), pa.array(most)], names=["a", "b"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])

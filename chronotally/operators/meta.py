@@ -10,11 +10,11 @@ CORRECTED_OUTCOMES = ("succeeded", "failed", "abandoned", "superseded")
 
 
 def _attr(name: str) -> Column:
-    return F.element_at("attrs", F.lit(name))
+    return F.try_element_at("attrs", F.lit(name))
 
 
 def _said(events: DataFrame, kind: str) -> DataFrame:
-    return events.where(F.col("kind") == kind).select("event_id", F.col("observed_at").alias("said_at"), "session_id", "project_id", _attr("type").alias("type"), _attr("target_type").alias("target_type"), _attr("target").alias("target"), _attr("outcome").alias("new_outcome"), _attr("failure_class").alias("new_class"), _attr("reason").alias("reason"), F.coalesce(F.element_at("content", F.lit("note")), _attr("note")).alias("note"), F.element_at("content", F.lit("objective")).alias("new_objective"))
+    return events.where(F.col("kind") == kind).select("event_id", F.col("observed_at").alias("said_at"), "session_id", "project_id", _attr("type").alias("type"), _attr("target_type").alias("target_type"), _attr("target").alias("target"), _attr("outcome").alias("new_outcome"), _attr("failure_class").alias("new_class"), _attr("reason").alias("reason"), F.coalesce(F.try_element_at("content", F.lit("note")), _attr("note")).alias("note"), F.try_element_at("content", F.lit("objective")).alias("new_objective"))
 
 
 def retracted_events(events: DataFrame) -> DataFrame:

@@ -21,19 +21,25 @@ from ..operators.tables import written
 class Projection:
     def __init__(self, events: DataFrame, as_of: datetime | None = None, rules: Rules = Rules(), until: datetime | None = None):
         """as_of: the time of judgement, the last event's by default; until: leaves later events out."""
-        self.raw = once(conform(events)) if until is None else once(conform(events)).where(F.col("observed_at") <= F.lit(until))
+        delivered = conform(events)
+        self.delivered = delivered if until is None else delivered.where(F.col("observed_at") <= F.lit(until))
         self._as_of, self.rules = as_of or until, rules
 
+    @cached_property
+    def stats(self):
+        """One pass over three columns: the clock in use, whether there are events about events, the last time."""
+        return self.delivered.agg(F.min("hlc").alias("hlc"), F.count_if(F.col("kind").isin(*META)).alias("meta"), F.max("observed_at").alias("last")).first()
+
     @cached_property
     def all_events(self) -> DataFrame:
         # telemetry without a meaning of its own never takes part
-        telemetry = (F.col("kind") == "unknown") & (F.coalesce(F.element_at("attrs", F.lit("source")), F.lit("")) == "otel")
-        return written(self.raw.where(~telemetry), "events")
+        telemetry = (F.col("kind") == "unknown") & (F.coalesce(F.try_element_at("attrs", F.lit("source")), F.lit("")) == "otel")
+        rows = once(self.delivered.where(~telemetry))
+        return written(rows, "events") if self.stats.meta else rows
 
     @cached_property
     def now(self) -> Column:
-        at = self._as_of or self.all_events.agg(F.max("observed_at")).first()[0]
-        return F.lit(at).cast("timestamp")
+        return F.lit(self._as_of or self.stats.last).cast("timestamp")
 
     @cached_property
     def meta_events(self) -> DataFrame:
@@ -45,11 +51,16 @@ class Projection:
 
     @cached_property
     def facts(self) -> DataFrame:
-        live = self.all_events.where(~F.col("kind").isin(*META)).join(self.retracted_ids.select("event_id"), "event_id", "left_anti")
-        return written(session_stage.with_turns(sequenced(live)), "facts")
+        live = self.all_events
+        if self.stats.meta:
+            live = live.where(~F.col("kind").isin(*META)).join(self.retracted_ids.select("event_id"), "event_id", "left_anti")
+        order = ["observed_at", "hlc", "source_seq", "event_id"] if self.stats.hlc else ["observed_at", "captured_at", "event_id"]
+        return written(session_stage.with_turns(sequenced(live, order)), "facts")
 
     @cached_property
     def events(self) -> DataFrame:
+        if not self.stats.meta:
+            return self.all_events.withColumn("retracted", F.lit(False))
         return self.all_events.join(self.retracted_ids.select("event_id", F.lit(True).alias("retracted")), "event_id", "left").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
 
     @cached_property
@@ -58,7 +69,11 @@ class Projection:
 
     @cached_property
     def turns(self) -> DataFrame:
-        return written(meta.correct_turns(session_stage.turns(self.facts, self.sessions), self.meta_events), "turns")
+        rows = session_stage.turns(self.facts, self.sessions)
+        if self.stats.meta:
+            return written(meta.correct_turns(rows, self.meta_events), "turns")
+        none = {c: F.lit(None).cast("string") for c in ("corrected_by", "inferred_objective")}
+        return written(rows.withColumns(none | {"corrected_at": F.lit(None).cast("timestamp")}), "turns")
 
     @cached_property
     def tool_calls(self) -> DataFrame:
@@ -75,6 +90,9 @@ class Projection:
     @cached_property
     def attempts(self) -> DataFrame:
         rows = session_stage.superseded(self._first_attempts, self.supersessions)
+        if not self.stats.meta:
+            none = {c: F.lit(None).cast("string") for c in ("note", "inferred_outcome", "inferred_failure_class", "correction_type", "corrected_by")}
+            return rows.withColumns(none | {"corrected_at": F.lit(None).cast("timestamp")})
         return written(meta.correct_attempts(meta.retract_attempts(rows, self.meta_events), self.meta_events), "attempts")
 
     @cached_property

@@ -152,7 +152,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     paths = sets.select("vid", F.explode("steps").alias("path"))
     edges = None
     for depth in range(1, DEPTH + 1):
-        sizes = paths.groupBy("path").count().where("count > 1")
+        # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
+        sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
         met = stage(paths.join(sizes, "path"), "paths")
         small = met.where(F.col("count") <= SMALL).select("path", "vid").join(sets.select("vid", "sketch"), "vid")
         close = small.select("path", "vid", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long")
@@ -297,5 +298,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return kept.unionByName(docs.where(some & F.col("doc_id").isNull()).dropDuplicates(["text"])).unionByName(docs.where(~some))
 
 
+def sql(threshold: float = THRESHOLD, gram: int = GRAM) -> str:
+    """The same in DuckDB's SQL: all pairs that share a shingle."""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + {gram - 1}), ' ') AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - {gram - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+links AS (SELECT x.a, x.b FROM (SELECT a.r AS a, b.r AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2) x JOIN sizes p ON p.r = x.a JOIN sizes q ON q.r = x.b WHERE x.n >= {threshold} * (p.n + q.n - x.n)),
+reach AS (SELECT r AS v, r AS s FROM d UNION SELECT l.b, reach.s FROM reach JOIN links l ON l.a = reach.v),
+classes AS (SELECT reach.v, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = reach.s GROUP BY reach.v),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, c.class_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles FROM d JOIN classes c ON c.v = d.r LEFT JOIN degree g ON g.a = d.r LEFT JOIN sizes s ON s.r = d.r"""
+
+
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).drop("tie")

@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licences": licences.sql()}
+    return {"op1_recompression": recompression.sql(), "op8_licences": licences.sql(), "op9_jaccard_join": jaccard_join.sql()}

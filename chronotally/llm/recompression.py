@@ -230,5 +230,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     return out if texts else out.drop("kept_text")
 
 
+def sql(window: int = WINDOW) -> str:
+    """The same in DuckDB's SQL, window by window."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d),
+marked AS (SELECT r, i, w[i] AS word, CASE WHEN i + {window - 1} <= len(w) THEN array_to_string(list_slice(w, i, i + {window - 1}), ' ') END AS win FROM places),
+counted AS (SELECT r, i, word, win IS NOT NULL AND count(win) OVER (PARTITION BY win) > 1 AS again FROM marked),
+covered AS (SELECT r, i, word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (SELECT r, sum(gone) AS n_removed, coalesce(string_agg(CASE WHEN gone = 0 THEN word END, ' ' ORDER BY i), '') AS words FROM covered GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.r = d.r"""
+
+
 def op1(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return remove_repeats(docs, texts=False)

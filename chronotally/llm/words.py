@@ -103,6 +103,8 @@ def encode_split(split: pa.Array, drop_empty: bool) -> Words:
             keep = codes != empty
             kept = np.concatenate([[0], np.cumsum(keep)])
             codes, offsets = codes[keep], kept[offsets]
+            codes = codes - (codes > empty)
+            vocab = vocab.take(pa.array(np.delete(np.arange(len(vocab)), empty)))
     return Words(codes, offsets, vocab)
 
 

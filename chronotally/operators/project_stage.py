@@ -49,8 +49,12 @@ def handoffs(turns: DataFrame, sessions: DataFrame, calls: DataFrame, rules: Rul
     giver = F.struct("ends", "session_id", "turn_index", "provider", "turn_id", "turn_ended", "end_event", "begins")
     # an end stands before a begin of the same time, so that end <= begin counts
     marks = spans.select("project_id", F.col("ends").alias("t"), F.lit(0).alias("side"), giver.alias("g"), F.lit(None).cast("struct<session_id:string,turn_index:bigint>").alias("r")).unionByName(spans.select("project_id", F.col("begins").alias("t"), F.lit(1).alias("side"), F.lit(None).cast(spans.select(giver.alias("g")).schema["g"].dataType).alias("g"), F.struct("session_id", "turn_index").alias("r")))
-    before = Window.partitionBy("project_id").orderBy("t", "side", F.col("g.session_id"), F.col("g.turn_index")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    received = marks.withColumn("giver", F.max("g").over(before)).where("side = 1").select("project_id", F.col("r.session_id").alias("session_id"), F.col("r.turn_index").alias("turn_index"), "giver")
+    # ends come in the order of (end, session, turn), so the greatest so far is the last one; a span that ends as it begins is not its own giver
+    order = Window.partitionBy("project_id").orderBy("t", "side", F.col("g.session_id"), F.col("g.turn_index"))
+    marks = marks.withColumn("earlier", F.last("g", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marks = marks.withColumn("best", F.last(F.when(F.col("g").isNotNull(), F.struct("g", "earlier")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = (F.col("best.g.session_id") == F.col("r.session_id")) & (F.col("best.g.turn_index") == F.col("r.turn_index"))
+    received = marks.where("side = 1").select("project_id", F.col("r.session_id").alias("session_id"), F.col("r.turn_index").alias("turn_index"), F.when(own, F.col("best.earlier")).otherwise(F.col("best.g")).alias("giver"))
     by_begin = Window.partitionBy("project_id").orderBy("begins", "session_id", "started_at", "turn_index").rowsBetween(Window.unboundedPreceding, -1)
     rows = spans.withColumn("busy_until", F.max("ends").over(by_begin)).join(received, ["project_id", "session_id", "turn_index"])
     rows = rows.where((F.col("busy_until").isNull() | (F.col("busy_until") <= F.col("begins"))) & (F.col("giver.session_id") != F.col("session_id")) & (F.col("giver.provider") != F.col("provider")))

@@ -169,9 +169,9 @@ class Engine:
 
     def _expression(self, text: str) -> Column:
         """Exactly one expression; text that closes a bracket or adds a clause doesn't parse."""
-        parsed = self.spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
-        if re.search(r"(?i)\b(select|scalar-subquery|exists#)\b", parsed.toString()):
+        if re.search(r"\b(select|exists|with|values|from)\b", bare(text), re.I):
             raise StatementError("a subquery is not allowed here")
+        self.spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
         return F.expr(text)
 
     def _filter(self, table: str, key: str, value: str, columns: list[str]) -> Column:

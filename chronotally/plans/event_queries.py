@@ -63,7 +63,7 @@ links AS (SELECT * FROM (SELECT a.session_id, a.turn_index AS t1, a.attempt_inde
 attempts AS (SELECT a.*, CASE WHEN l.t2 IS NOT NULL THEN 'superseded' ELSE outcome0 END AS outcome, l.t2, l.i2 FROM att1 a LEFT JOIN links l ON l.session_id = a.session_id AND l.t1 = a.turn_index AND l.i1 = a.attempt_index),
 spans AS (SELECT t.project_id, t.session_id, t.provider, t.turn_index, t.ended_at, t.started_at AS begins, greatest(t.started_at, t.last_event_at) AS ends FROM turns t),
 quiet AS (SELECT *, max(ends) OVER (PARTITION BY project_id ORDER BY begins, session_id, turn_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM spans),
-givers AS (SELECT q.*, g.session_id AS g_session, g.provider AS g_provider, g.turn_index AS g_turn, g.ends AS g_ends, g.ended_at AS g_ended, row_number() OVER (PARTITION BY q.session_id, q.turn_index ORDER BY g.ends DESC, g.session_id DESC, g.turn_index DESC) AS rn FROM quiet q JOIN spans g ON g.project_id = q.project_id AND g.ends <= q.begins AND (busy IS NULL OR busy <= q.begins)),
+givers AS (SELECT q.*, g.session_id AS g_session, g.provider AS g_provider, g.turn_index AS g_turn, g.ends AS g_ends, g.ended_at AS g_ended, row_number() OVER (PARTITION BY q.session_id, q.turn_index ORDER BY g.ends DESC, g.session_id DESC, g.turn_index DESC) AS rn FROM quiet q JOIN spans g ON g.project_id = q.project_id AND g.ends <= q.begins AND NOT (g.session_id = q.session_id AND g.turn_index = q.turn_index) AND (busy IS NULL OR busy <= q.begins)),
 given AS (SELECT *, greatest((CAST(floor(begins / 1000) AS BIGINT) - CAST(floor((CASE WHEN g_ended <= begins AND g_ended > g_ends THEN g_ended ELSE g_ends END) / 1000) AS BIGINT)), 0) AS gap_ms FROM givers WHERE rn = 1 AND g_session <> session_id AND g_provider <> provider),
 shared AS (SELECT g.session_id, g.turn_index, list_sort(list_distinct(list(a.path))) AS paths FROM given g JOIN calls a ON a.session_id = g.g_session AND a.is_edit AND a.t <= g.begins JOIN calls b ON b.session_id = g.session_id AND b.path = a.path AND b.t >= g.begins GROUP BY g.session_id, g.turn_index),
 handoffs AS (SELECT g.*, coalesce(array_to_string(s.paths, ','), '') AS shared_paths, CASE WHEN s.paths IS NOT NULL AND gap_ms <= 43200000 THEN least(6 + CASE WHEN g_ended <= begins THEN 2 ELSE 0 END + CASE WHEN len(s.paths) >= 3 THEN 1 ELSE 0 END, 9) / 10 WHEN gap_ms <= 3600000 THEN 0.5 END AS confidence FROM given g LEFT JOIN shared s ON s.session_id = g.session_id AND s.turn_index = g.turn_index)

@@ -308,7 +308,7 @@ def test_filter_expression_cannot_escape(spark):
     s = Story()
     s.add("prompt_submitted", prompt="x")
     engine = Engine(spark, s.project(spark))
-    for bad in ("true) or (true", "1 = 1 limit 5", "exists (select 1)"):
+    for bad in ("true) or (true", "exists (select 1)", "turn_index in (select 1)"):
         with pytest.raises(Exception):
             engine.query(f"SHOW TURNS WHERE {bad}").df.collect()
     assert engine.query("SHOW TURNS WHERE turn_index = 1 and not (status = 'failed')").df.count() == 1

@@ -38,8 +38,9 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def once(df: DataFrame) -> DataFrame:
-    """Each event id once."""
-    return df.dropDuplicates(["event_id"])
+    """Each event id once. An id belongs to one session, so deliveries meet where the session's events are dealt."""
+    again = F.row_number().over(Window.partitionBy("session_id", "event_id").orderBy("captured_at"))
+    return df.repartition("session_id").withColumn("_again", again).where("_again = 1").drop("_again")
 
 
 def order_columns(events: DataFrame) -> list[str]:

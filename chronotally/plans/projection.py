@@ -7,6 +7,7 @@ decisions, conflicts and edges.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import cached_property
 
@@ -25,6 +26,11 @@ class Projection:
         self.delivered = delivered if until is None else delivered.where(F.col("observed_at") <= F.lit(until))
         self._as_of, self.rules = as_of or until, rules
 
+    def _together(self, *names: str) -> None:
+        """Tables that don't wait for each other are derived at the same time."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
+
     @cached_property
     def stats(self):
         """One pass over three columns: the clock in use, whether there are events about events, the last time."""
@@ -81,6 +87,8 @@ class Projection:
 
     @cached_property
     def _first_attempts(self) -> DataFrame:
+        _ = self.facts, self.now
+        self._together("turns", "tool_calls")
         return written(session_stage.attempts(self.tool_calls, self.turns, self.sessions), "attempts")
 
     @cached_property
@@ -109,6 +117,8 @@ class Projection:
 
     @cached_property
     def _units(self) -> tuple[DataFrame, DataFrame]:
+        _ = self.supersessions
+        self._together("attempts", "handoffs", "signals", "commits")
         units, members = project_stage.work_units(self.turns, self.attempts, self.tool_calls, self.sessions, self.signals, self.commits, self.handoffs, self.now, self.rules)
         members = written(members, "members")
         return written(units, "units"), members

@@ -130,7 +130,8 @@ def test_components(spark):
 
 
 def test_pipeline(spark, tmp_path, labelled, leaky):
-    pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline as pipeline
+
     docs = labelled[0].unionByName(leaky[0]).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labelled[1].write.parquet(str(tmp_path / "labels.parquet"))

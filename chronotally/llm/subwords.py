@@ -103,8 +103,8 @@ class Encoder:
                 self.memo, self.old = {}, memo
         return out
 
-    def _table(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of ``vocab`` one after another, and the number of each."""
+    def _table(self, vocab: pa.Array, remember: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of ``vocab`` one after another, and the number of each. Words that won't come again need no memory."""
         found = pc.extract_regex(vocab, rf"^(?P<feed>\n?)(?P<letters>{LETTERS}+)(?P<signs>{SIGNS}*)$")
         easy = found.is_valid().to_numpy(zero_copy_only=False)
         feed, letters, signs = (pc.fill_null(pc.struct_field(found, k), "").filter(pa.array(easy)) for k in range(3))
@@ -116,7 +116,7 @@ class Encoder:
         units, tails = letters.dictionary_encode(), signs.dictionary_encode()
         hard = [w if not self.spaces or w[:1] == "\n" else " " + w for w in strings(vocab.filter(pa.array(~easy)))]
         tail_list = strings(tails.dictionary)
-        parts = [[np.array(self.stop, np.uint32).tobytes() if self.spaces else b""], self._remembered(strings(units.dictionary), self._letters), self._whole(tail_list), self._whole(hard)]
+        parts = [[np.array(self.stop, np.uint32).tobytes() if self.spaces else b""], self._remembered(strings(units.dictionary), self._letters) if remember else self._letters(strings(units.dictionary)), self._whole(tail_list), self._whole(hard)]
         sizes = np.cumsum([0, *map(len, parts)])
         flat = b"".join(b"".join(p) for p in parts)
         counts = np.concatenate([np.fromiter(map(len, p), dtype=np.int64, count=len(p)) for p in parts]) // 4

@@ -26,8 +26,11 @@ def ingest(events: DataFrame, path: str, capture_mode: str = "local_semantic") -
         known = read(spark, path)
         first = known.agg(F.max("source_seq")).first()[0] or 0
         new = new.join(known.select("event_id"), "event_id", "left_anti")
-    # numbers by session order inside each project, so that no single task orders everything
-    new = new.withColumn("source_seq", F.lit(first) + F.row_number().over(Window.partitionBy("project_id").orderBy("observed_at", "event_id"))).select(*[f.name for f in EVENT.fields])
+    # numbers run through one project after another, so that no single task orders all events; only the projects' counts are summed in order
+    counts = new.groupBy("project_id").agg(F.count("*").alias("n"))
+    bases = counts.select("project_id", F.coalesce(F.sum("n").over(Window.orderBy("project_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = new.withColumn("nth", F.row_number().over(Window.partitionBy("project_id").orderBy("observed_at", "event_id"))).alias("e").join(bases.alias("b"), F.col("e.project_id").eqNullSafe(F.col("b.project_id")))
+    new = numbered.select("e.*", "b.base").withColumn("source_seq", F.lit(first) + F.col("base") + F.col("nth")).select(*[f.name for f in EVENT.fields])
     before = read(spark, path).count() if exists(spark, path) else 0
     new.write.mode("append").parquet(path)
     return read(spark, path).count() - before

@@ -7,6 +7,7 @@ word codes, the offsets of each text in it, and the distinct words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Odd multipliers of the two polynomial hashes, and their inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
@@ -28,8 +30,8 @@ def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
         step = np.full(max(n, 1 << 16), (INVERSES if inverse else BASES)[which], dtype=U64)
         step[0] = 1
         _POWERS[which, inverse] = have = np.cumprod(step, dtype=U64)
-        if n > 1 << 22:
-            del _POWERS[which, inverse]
+        if n > 1 << 20:
+            del _POWERS[which, inverse]  # long ones are not kept
     return have[:n]
 
 
@@ -62,8 +64,13 @@ def hash_strings(strings: pa.Array, which: int = 0) -> np.ndarray:
     _, places, data = strings.buffers()
     at = np.frombuffer(places, dtype=kind)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    sizes = np.diff(at)
+    step = powers(which, int(sizes.max()) + 1)
+    total = np.empty(len(raw) + 1, dtype=U64)
+    total[0] = 0
+    np.cumsum((raw.astype(U64) + U64(1)) * step[ranges(sizes)], out=total[1:])
     at = at - at[0]
-    return span_hash(raw.astype(U64) + U64(1), at[:-1], at[1:], which)
+    return mix(total[at[1:]] - total[at[:-1]] + sizes.astype(U64) * U64(BASES[1 - which]))
 
 
 @dataclass
@@ -112,7 +119,7 @@ def split_words(texts: pa.Array | pa.ChunkedArray) -> Words:
     return encode_split(pc.ascii_split_whitespace(plain(texts)), drop_empty=True)
 
 
-def by_size(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = 8 << 20) -> Iterator[pa.Table]:
+def by_size(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = 4 << 20) -> Iterator[pa.Table]:
     """Slices of about ``most`` bytes of text, one row at least, so that memory doesn't follow the batch size."""
     table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
     if not table.num_rows:
@@ -125,6 +132,14 @@ def by_size(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int =
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield table.slice(start, stop - start)
         start = stop
+    release()
+
+
+def release() -> None:
+    """Free memory goes back to the machine: a Python worker lives on and shares its executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:

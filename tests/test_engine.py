@@ -459,3 +459,30 @@ def test_registered_queries_match_their_sql(spark):
         assert sorted(want.columns) == order
         clean = lambda rows: sorted(str([round(float(v), 4) if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else v for v in r]) for r in rows)
         assert clean(got.select(*order).collect()) == clean(want.select(*order).fetchall()), name
+
+
+def test_registered_queries_read_whole_tables(spark):
+    """sql_regex, sql_unnest and sql_except_all against counts in Python over all rows and whole texts, and against DuckDB."""
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    table = {}
+    for name in ("documents", "embeddings", "orders", "customer"):
+        con.sql(f"create view {name} as select * from '{folder}/{name}.parquet'")
+        table[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+    masked = str.maketrans("aeiou", "_____")
+    wanted = {
+        "sql_regex": Counter((r.doc_id, r.text.translate(masked)) for r in table["documents"].select("doc_id", "text").collect()),
+        "sql_unnest": Counter((r.vec_id, k + 1) for r in table["embeddings"].collect() for k in range(len(r.embedding))),
+        "sql_except_all": Counter((r.o_custkey % 7,) for r in table["orders"].select("o_custkey").collect()) - Counter((r.c_custkey % 7,) for r in table["customer"].select("c_custkey").collect()),
+    }
+    columns = {"sql_regex": "doc_id, rep", "sql_unnest": "vec_id, i", "sql_except_all": "k"}
+    queries, texts = entry.queries(), entry.oracle_sql()
+    for name, want in wanted.items():
+        got = queries[name](spark, folder)
+        assert Counter(map(tuple, got.selectExpr(*columns[name].split(", ")).collect())) == want, name
+        assert Counter(con.sql(f"select {columns[name]} from ({texts[name]})").fetchall()) == want, name
+        assert Counter(map(tuple, got.collect())) == Counter(con.sql(texts[name]).fetchall()), name

@@ -5,8 +5,13 @@ Each set samples about ``SAMPLED`` of its tokens by a hash of the token against
 of fewer tokens keeps all); these are the first steps of all runs at once, and a pair of similarity ``threshold`` shares none of them with
 a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash); a larger one is split: each
-of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average.
-After ``DEPTH`` steps the sets of a bucket share so many random tokens that it is kept together without comparing.
+of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average and more from a
+small sample. After ``DEPTH`` steps the sets of a bucket share so many random tokens that it is kept together without comparing.
+
+Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common, which loses such a pair of
+similarity 0.8 with a chance of up to 8e-4 in one run. So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
+its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances stays under 1e-9, so
+that the miss chance with splitting included is that of the first tokens, under 1e-6.
 
 Sketch matches and kept buckets only make candidate groups (their connected components). Inside a group every pair is then compared exactly
 on the full sets, so the links are exact and nothing is capped: a group beyond ``BLOCK`` sets is compared in pairs of blocks. The result
@@ -31,6 +36,8 @@ from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_wor
 GRAM, THRESHOLD = 5, 0.8
 SAMPLED, SMALL, BRANCH, DEPTH, BLOCK = 18.0, 128, 1.5, 3, 512
 BINS, SKETCH_AT = 128, 0.55
+RUNS = 3
+STEPS = [f"steps{k}" for k in range(RUNS)]
 BROADCAST_ROWS = 500_000
 
 
@@ -62,16 +69,16 @@ def sketches(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.reshape(-1, BINS)
 
 
-def sampled(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens that each set chooses, and their offsets."""
+def sampled(h: np.ndarray, offsets: np.ndarray, run: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that each set chooses in a run, and their offsets."""
     n = np.repeat(np.diff(offsets), np.diff(offsets))
-    chance = mix(h ^ U64(0xA5A5A5A5A5A5A5A5)) / 2.0**64
+    chance = mix(h ^ U64(0xA5A5A5A5A5A5A5A5 + 0x1F3D5B79 * run)) / 2.0**64
     keep = chance < SAMPLED / np.maximum(n, 1)
     total = np.concatenate([[0], np.cumsum(keep)])
     return h[keep], total[offsets]
 
 
-DESCRIBED = "doc_id long, tie long, sid binary, n long, steps array<long>, sketch binary"
+DESCRIBED = f"doc_id long, tie long, sid binary, n long, {', '.join(f'{c} array<long>' for c in STEPS)}, sketch binary"
 
 
 def _describe(gram: int):
@@ -83,10 +90,9 @@ def _describe(gram: int):
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(k)), dtype=U64)]) for k in (0x1234567, 0x89ABCDE)]
                 halves = np.stack([s[offsets[1:]] - s[offsets[:-1]] for s in sums], axis=1)
                 sid = [x.tobytes() if k else None for x, k in zip(halves, n.tolist(), strict=True)]
-                steps, at = sampled(h, offsets)
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(steps.view(np.int64))) for steps, at in (sampled(h, offsets, k) for k in range(RUNS))]
                 marks = [x.tobytes() for x in sketches(h, offsets)]
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(steps.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), part["tie"].combine_chunks(), pa.array(sid, pa.binary()), pa.array(n.astype(np.int64)), lists, pa.array(marks, pa.binary())], names=["doc_id", "tie", "sid", "n", "steps", "sketch"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), part["tie"].combine_chunks(), pa.array(sid, pa.binary()), pa.array(n.astype(np.int64)), *lists, pa.array(marks, pa.binary())], names=["doc_id", "tie", "sid", "n", *STEPS, "sketch"])
 
     return run
 
@@ -148,9 +154,20 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of vids whose components hold every similar pair. sets: vid, steps, sketch."""
+    """Pairs (a, b) of vids whose components hold every similar pair. sets: vid, the steps of each run, sketch."""
+    edges, split = _one_run(sets.select("vid", F.col(STEPS[0]).alias("steps"), "sketch"), 0)
+    if split is not None:
+        # only pairs whose buckets were all split can be lost by it
+        again = stage(sets.join(split.select("vid").distinct(), "vid"), "again")
+        for run in range(1, RUNS):
+            edges = edges.unionByName(_one_run(again.select("vid", F.col(STEPS[run]).alias("steps"), "sketch"), run)[0])
+    return edges.distinct()
+
+
+def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of one run, and the (path, vid) of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
-    edges = None
+    edges = split = None
     for depth in range(1, DEPTH + 1):
         # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
         sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
@@ -161,15 +178,18 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         large = met.where(F.col("count") > SMALL).select("path", "vid")
         if large.isEmpty():
             break
+        split = large if depth == 1 else split
         if depth == DEPTH:
             least = large.groupBy("path").agg(F.min("vid").alias("b"))
             edges = edges.unionByName(large.join(least, "path").where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
             break
-        step = F.filter("steps", lambda t: (t != F.col("path")) & (F.pmod(F.xxhash64("path", t), F.lit(1 << 20)) * F.size("steps") < BRANCH * (1 << 20)))
+        # a small sample extends more, up to all its tokens, as it has few paths that could find a pair
+        many = F.greatest(F.lit(1.0), SAMPLED / F.size("steps")) * BRANCH * (1 << 20)
+        step = F.filter("steps", lambda t: (t != F.col("path")) & (F.pmod(F.xxhash64("path", t, F.lit(run)), F.lit(1 << 20)) * F.size("steps") < many))
         longer = large.join(sets.select("vid", "steps"), "vid").select("vid", "path", F.explode(step).alias("t"))
         # the order of the steps doesn't matter to who shares them
         paths = longer.select("vid", F.xxhash64("path", "t", F.lit(depth)).alias("path"))
-    return edges.distinct()
+    return edges, split
 
 
 def _sets(gram: int):
@@ -257,7 +277,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     described = stage(rows.mapInArrow(_describe(gram), DESCRIBED), "described")
     # equal sets are one vertex; copies of a document meet in the partial aggregate
-    sets = described.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("steps").alias("steps"), F.first("sketch").alias("sketch"))
+    sets = described.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in STEPS), F.first("sketch").alias("sketch"))
     sets = stage(sets.withColumn("vid", F.monotonically_increasing_id()), "sets")
     groups = stage(components(candidate_edges(sets)), "groups")
 

@@ -249,6 +249,20 @@ def test_large_near_copy_group(spark, monkeypatch):
         assert rows[k].n_links == sum(len(sets[k] & o) >= 0.8 * len(sets[k] | o) for j, o in enumerate(sets) if j != k)
 
 
+def test_split_buckets_lose_no_pair(spark, monkeypatch):
+    """Every bucket is split: pairs of similarity 0.8 are all linked, of short and of long texts."""
+    from .conftest import make
+
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    texts = []
+    for k in range(600):
+        size = 9 if k % 2 else 94
+        own = [f"w{k}x{j}" for j in range(size)]
+        texts += [" ".join(own), " ".join(own[: 4 + (size - 4) * 4 // 5])]
+    rows = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.op9(spark, make(spark, list(enumerate(texts)))).collect()}
+    assert rows == {k: (k - k % 2, 1) for k in range(len(texts))}
+
+
 BASE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 

@@ -1,6 +1,8 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` or ``?`` followed by white space. A sentence is normalised
+A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space (not after the ``v.`` of a version), at lines without
+letters or digits, at a colon that ends a line and before the number or letter of a list; other line ends are spaces, as licence texts
+are wrapped. A sentence that isn't known is cut again at all its line ends and stops, so that headings are found too. A sentence is normalised
 (ASCII small letters, every run of other signs one space, and the wordings of "is licensed under the" reduced to "under") and
 looked up among the known licence sentences. The sequence of a text's sentence identifiers is then matched against the
 rules: each names a licence and the identifiers that must occur in this order, other sentences between them allowed.
@@ -79,6 +81,7 @@ RULES = [
 MARKS = ["under", "licen", "permission", "warranty", "copyright", "redistribut", "rights reserved"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END = r"([.!?])[ \t\r\n\f\x0b]+"
+WRAPPED_END = r"(?<![^a-z0-9]v)[.!?][ \t\r\n\f\x0b]+|:[ \t\r]*\n|\n[^a-z0-9\n]*(?=\n)|\n(?=[^a-z0-9\n]*([0-9]{1,2}[.)]|\([a-z0-9]{1,2}\)|[a-z][.)])[ \t])"
 WORDING = r"^(this (work|software|project|program|file|document|code|content|text) is |the (work|software|project|code) is )?(licensed|released|distributed|published|made available|available|provided) under (the )?(terms of (the )?)?"
 
 KNOWN = {sentence: name for name, wordings in SENTENCES.items() for sentence in wordings}
@@ -97,8 +100,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifiers in order), licences (in rule order) and their counts for each document."""
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
     small = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
-    parts = F.split(F.regexp_replace(F.col("small"), SENTENCE_END, "$1\n"), "\n")
-    found = F.filter(F.transform(parts, lambda s: F.element_at(known, _normal(s))), lambda x: x.isNotNull())
+    name = lambda s: F.element_at(known, _normal(s))
+    lines = lambda s: F.transform(F.split(s, SENTENCE_END + r"|\n"), name)
+    names_of = lambda s: F.when(name(s).isNotNull() | ~s.rlike(SENTENCE_END + r"|\n"), F.array(name(s))).otherwise(lines(s))
+    found = F.filter(F.flatten(F.transform(F.split(F.col("small"), WRAPPED_END), names_of)), lambda x: x.isNotNull())
     some = F.lit(False)
     for mark in MARKS:
         some = some | F.contains(F.col("small"), F.lit(mark))
@@ -122,7 +127,7 @@ def op8(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but for sentences wrapped over lines or holding ``v.``, which it doesn't join."""
     by_licence: dict[str, list[str]] = {}
     for licence, sequence in RULES:
         by_licence.setdefault(licence, []).append(_pattern(sequence))

@@ -43,8 +43,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "key", "auth", "bearer", "credential")
 CONTACT_WORDS = ("phone", "tel", "telephone", "mobile", "call", "fax", "contact", "whatsapp", "ssn", "passport")
 
-_SECRET = re.compile(r"\b(?P<name>[A-Za-z_]{2,24})(?P<sign>\s?[=:]\s?)(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_/+.-]{16,128})")
-_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"\b(?P<name>[A-Za-z0-9_]{2,})(?P<sign>\s?[=:]\s?)(?P<quote>[\"']?)(?P<value>[A-Za-z0-9_/+.-]{16,})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])")
 _ADDRESS = re.compile(r"\b[A-Za-z0-9._-]{2,40} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{2,40} ?[\[(](?:dot|DOT)[\])] ?[A-Za-z]{2,10}\b")
 _CONTACT = re.compile(r"\b(?P<name>[A-Za-z]{2,12})(?:\.|:| no\.?| number)? ?(?P<value>[(]?[0-9]{2,4}[)]?[ .-][0-9]{2,4}[ .-][0-9]{3,4})(?![ .-]?[0-9])")
 _ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")

@@ -390,3 +390,12 @@ modification, are permitted provided that the following conditions are met:
 def test_wrapped_licence_texts(spark):
     rows = licences.scan(spark.createDataFrame(list(enumerate(WRAPPED.values())), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.licences for r in rows] == list(WRAPPED)
+
+
+@pytest.mark.parametrize("name", ["token", "AWS_S3_SECRET_KEY", "the_very_long_name_of_a_service_token"])
+def test_a_secret_is_one_whole_span(name):
+    value = "aB3xK9" * 40
+    text = f"set {name}={value} here"
+    assert [text[a:b] for _, a, b, _ in personal_data.proposals(text)] == [value]
+    key = "0123456789abcdef" * 12
+    assert [s[1:3] for s in personal_data.proposals(f"x {key} y")] == [(2, 2 + len(key))]

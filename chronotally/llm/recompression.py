@@ -3,18 +3,20 @@
 Rounds shorten every document's word stream alike wherever the same words stand: a run
 round replaces each maximal run of one symbol by a symbol named after (symbol, length), a pair
 round merges a symbol of coin 0 with a following symbol of coin 1 (the coins come from the symbols' names and
-the round). A new symbol's name is a hash of what it replaces, so all tasks and
-documents name equal content alike. With each symbol goes the span of words its making depended on;
-if that span lies inside a window, every equal window elsewhere holds the same symbol at the same place.
+the round). A new symbol's name is a 128-bit hash of what it replaces, so all tasks and documents give
+equal content one name without talking to each other, and the rounds need no exchange between them. With each symbol goes the
+span of words its making depended on; if that span lies inside a window, every equal window elsewhere holds the same symbol at the same place.
 
 A window of 35 words that holds such an interior symbol that occurs once in the corpus is therefore
-unique. Only windows whose interior symbols are all shared (or that have none) are left as candidates; their 128-bit
-hashes are counted over the corpus, which verifies them exactly. Words covered by a repeated window are removed.
+unique. Windows whose interior symbols are all shared (or that have none) are left; each is described by the names of its interior symbols
+and the words before and after them, which are a function of its words and fix them. Windows of equal
+description (128 bits) are the repeats, counted over the corpus. Words covered by a repeated window are removed.
 
 Distribution: documents are dealt once into blocks of a few MB by a hash of id and text; the three passes read
 that one shuffle. Blocks send each distinct name (or window hash) once, in packed arrays by bucket of
 the hash, and get a bit for each back, so a passage that a third of all documents share is at most one
-entry a block. Every document is whole in a block.
+entry a block. The packed rows are at most blocks x buckets and never more than the entries, that is linear in the words. Every document is whole
+in a block; equal rows (null ids, one text) are spread by the input partition they come from.
 
 Defined results: a null text has no words (n_words 0, SHA-256 of the empty string). A text under 35 words loses
 nothing. Copies of a document (equal doc_id too) each count as another occurrence. Null doc_ids stay null. An empty
@@ -24,6 +26,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import shuffle_width
-from .words import U64, Words, hash_strings, mix, powers, split_words
+from .words import U64, Words, hash_pairs, mix, powers, split_words
 
 WINDOW = 35
 #: R: runs, P: pairs.
@@ -41,8 +44,27 @@ OUTSIDE = 1 << 40
 BLOCK_BYTES = 4 << 20
 
 
-def compress(names: np.ndarray, doc: np.ndarray, rounds: str = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the symbols left after all rounds, and the words [low, high) that each depended on.
+@dataclass(frozen=True)
+class Symbols:
+    """What the rounds leave of a word stream, in order: each symbol's name, its words [start, end) and the words [low, high) it depended on."""
+
+    names: np.ndarray  # rows of two 64-bit halves
+    start: np.ndarray
+    end: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _named(*parts: np.ndarray, salt: int) -> np.ndarray:
+    """Names of made symbols: rows of two halves, each a mix of the same halves of the parts."""
+    out = np.full(parts[0].shape, U64(salt), dtype=U64)
+    for odd, part in zip((0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25), parts, strict=False):
+        out = mix(out * U64(0xC4CEB9FE1A85EC53) + part * U64(odd))
+    return out
+
+
+def compress(names: np.ndarray, doc: np.ndarray, rounds: str = ROUNDS) -> Symbols:
+    """The symbols left after all rounds. names: rows of two halves, one for each word.
 
     A symbol that depended on an end of its document has an endless span.
     """
@@ -58,27 +80,33 @@ def compress(names: np.ndarray, doc: np.ndarray, rounds: str = ROUNDS) -> tuple[
         before = np.where(has_left, np.concatenate([low[:1], low[:-1]]), -OUTSIDE)
         after = np.where(has_right, np.concatenate([high[1:], high[-1:]]), OUTSIDE)
         if kind == "R":
-            head = np.concatenate([[True], ~(inside & (names[1:] == names[:-1]))])
+            head = np.concatenate([[True], ~(inside & (names[1:] == names[:-1]).all(axis=1))])
             at = np.flatnonzero(head)
             size = np.diff(np.append(at, len(names)))
             low, high = before[at], after[at + size - 1]
             length = np.add.reduceat(length, at)
-            run = mix(names[at] * U64(0xFF51AFD7ED558CCD) + size.astype(U64))
-            names, doc = np.where(size > 1, run, names[at]), doc[at]
+            runs = np.flatnonzero(size > 1)
+            names, doc, start = names[at], doc[at], start[at]
+            names[runs] = _named(names[runs], np.repeat(size[runs, None].astype(U64), 2, axis=1), salt=number + 1)
         else:
-            coin = mix(names + U64(0x9E3779B97F4A7C15 * (number + 1) % (1 << 64))) >> U64(63) == 1
+            coin = mix(names[:, 0] + U64(0x9E3779B97F4A7C15 * (number + 1) % (1 << 64))) >> U64(63) == 1
             joins = np.concatenate([~coin[:-1] & coin[1:] & inside & (length[:-1] + length[1:] <= LONGEST), [False]])
             joined = np.concatenate([[False], joins[:-1]])
             low = np.where(coin & ~joined, before, low)
             high = np.where(~coin & ~joins, after, high)
             first = np.flatnonzero(joins)
             names, high, length = names.copy(), high.copy(), length.copy()
-            names[first] = mix(names[first] * U64(0xC4CEB9FE1A85EC53) + names[first + 1] * U64(0x9FB21C651E98DF25) + U64(number))
+            names[first] = _named(names[first], names[first + 1], salt=number + 1)
             high[first] = high[first + 1]
             length[first] += length[first + 1]
             keep = ~joined
-            names, low, high, length, doc = names[keep], low[keep], high[keep], length[keep], doc[keep]
-    return names, low, high
+            names, start, low, high, length, doc = names[keep], start[keep], low[keep], high[keep], length[keep], doc[keep]
+    return Symbols(names, start, start + length, low, high)
+
+
+def _sums(values: np.ndarray, which: int) -> np.ndarray:
+    """Prefix sums of ``values`` times powers of a base."""
+    return np.concatenate([np.zeros(1, U64), np.cumsum(values * powers(which, len(values)), dtype=U64)])
 
 
 class Block:
@@ -88,9 +116,9 @@ class Block:
         self.words: Words = split_words(table["text"])
         self.window, n = window, len(self.words.codes)
         self.doc = self.words.doc_of_word()
-        self.hashes = [hash_strings(self.words.vocab, k)[self.words.codes] for k in (0, 1)]
-        self.names, self.low, self.high = compress(self.hashes[0], self.doc)
-        self.distinct, self.which, counts = np.unique(self.names, return_inverse=True, return_counts=True)
+        self.hashes = hash_pairs(self.words.vocab)[self.words.codes]
+        self.symbols = compress(self.hashes, self.doc)
+        self.distinct, self.which, counts = np.unique(self.symbols.names[:, 0], return_inverse=True, return_counts=True)
         self.twice = counts > 1
         self.fits = np.zeros(n, dtype=bool)  # a window starts here
         if n >= window:
@@ -99,20 +127,44 @@ class Block:
     def candidates(self, shared: np.ndarray) -> np.ndarray:
         """Window starts that no unique interior symbol rules out; shared: of each distinct name."""
         alone = ~(shared | self.twice)[self.which]
-        first, last = self.high[alone] - self.window, self.low[alone]
+        first, last = self.symbols.high[alone] - self.window, self.symbols.low[alone]
         good = first <= last
         first, last = np.maximum(first[good], 0), last[good]
         n = len(self.fits)
         out = np.cumsum(np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(last + 1, minlength=n + 2)[: n + 1])[:n] > 0
         return np.flatnonzero(self.fits & ~out)
 
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct 128-bit hashes of the windows in order, the place of each start among them, and which occur twice here."""
+    def described(self, starts: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit halves that stand for each window: of its interior symbols' names and of the words around them.
+
+        The interior symbols depend on the window's words alone, so equal windows are described alike; names fix the
+        words they replaced, so windows described alike are equal.
+        """
+        s, n = self.symbols, len(self.doc)
+        ends = starts + self.window
+        bounds = self.words.offsets
+        # spans beyond an end of a document reach just past it: lows and highs ascend over all documents
+        own = np.searchsorted(bounds, s.start, side="right") - 1
+        low = np.where(s.low < 0, bounds[own] - 1, s.low)
+        high = np.where(s.high > n, bounds[own + 1] + 1, s.high)
+        first, last = np.searchsorted(low, starts, "left"), np.searchsorted(high, ends, "right")
+        some = first < last
+        first, last = np.where(some, first, 0), np.where(some, last, 0)
+        # without an interior symbol the words before it are the whole window
+        head = np.where(some, s.start[np.minimum(first, len(s.start) - 1)], ends) if len(s.start) else ends
+        tail = np.where(some, s.end[np.maximum(last - 1, 0)], ends) if len(s.end) else ends
         halves = []
         for k in (0, 1):
-            total = np.concatenate([np.zeros(1, U64), np.cumsum(self.hashes[k] * powers(k, len(self.doc)), dtype=U64)])
-            halves.append(mix((total[starts + self.window] - total[starts]) * powers(k, len(self.doc) + 1, inverse=True)[starts]))
-        a, b = halves
+            of_words, of_names = _sums(self.hashes[:, k], k), _sums(s.names[:, k], k)
+            back, back_names = powers(k, n + 1, inverse=True), powers(k, len(s.names) + 1, inverse=True)
+            out = mix((of_words[head] - of_words[starts]) * back[starts] + (head - starts).astype(U64))
+            out = mix(out * U64(0xC4CEB9FE1A85EC53) + (of_names[last] - of_names[first]) * back_names[first] + (last - first).astype(U64))
+            halves.append(mix(out * U64(0x9FB21C651E98DF25) + (of_words[ends] - of_words[tail]) * back[tail]))
+        return halves
+
+    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct descriptions of the windows in order, the place of each start among them, and which occur twice here."""
+        a, b = self.described(starts)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, dtype=bool)
@@ -186,7 +238,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    return rows.withColumn("blk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:

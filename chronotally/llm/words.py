@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -53,24 +54,15 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U64))
 
 
+def hash_pairs(strings: pa.Array) -> np.ndarray:
+    """128-bit XXH3 of each string's UTF-8 bytes, as rows of two 64-bit halves."""
+    digests = b"".join(map(xxhash.xxh3_128_digest, strings.cast(pa.large_binary()).to_pylist()))
+    return np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
+
+
 def hash_strings(strings: pa.Array, which: int = 0) -> np.ndarray:
-    """64-bit hash of each string's UTF-8 bytes."""
-    if not len(strings):
-        return np.empty(0, dtype=U64)
-    if pa.types.is_large_string(strings.type):
-        kind = np.int64
-    else:
-        kind = np.int32
-    _, places, data = strings.buffers()
-    at = np.frombuffer(places, dtype=kind)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
-    sizes = np.diff(at)
-    step = powers(which, int(sizes.max()) + 1)
-    total = np.empty(len(raw) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum((raw.astype(U64) + U64(1)) * step[ranges(sizes)], out=total[1:])
-    at = at - at[0]
-    return mix(total[at[1:]] - total[at[:-1]] + sizes.astype(U64) * U64(BASES[1 - which]))
+    """64-bit hash of each string's UTF-8 bytes: one half of ``hash_pairs``."""
+    return np.ascontiguousarray(hash_pairs(strings)[:, which])
 
 
 @dataclass

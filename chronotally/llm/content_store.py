@@ -9,16 +9,16 @@ chunks wherever they stand. It writes three Parquet tables:
   32 bits wide), each distinct chunk once;
 * ``recipes``  in ascending doc_id order: doc_id, start, n_tokens, the chunk ids in
   order, and the root of their Merkle tree;
-* ``manifest`` for each range of recipes: number of documents and ids and the Merkle root
-  over its documents' roots.
+* ``manifest`` for each page of up to ``PAGE`` consecutive recipes: its first start, the number of
+  documents and ids, and the Merkle root over its documents' ids, starts, sizes and roots.
 
-``read_digests`` and ``read_ids`` work from these files alone; they check every chunk
-against its id, every document against its recipe and Merkle root, and fail on a
-missing or altered chunk.
+``read_digests`` and ``read_ids`` work from these files alone. They first hold the recipes against the manifest, page by page,
+so that missing, extra or altered recipes are found; they check every chunk against its id and every document
+against its recipe and Merkle root, and fail on a missing or altered chunk.
 
 Defined results: a null text counts as empty (the end id only). Null doc_ids come
-first; rows of equal doc_id are ordered by a hash of their text, and equal rows stay
-separate documents. An empty table gives an empty store. Extra columns are ignored.
+first; rows of equal doc_id are ordered by a hash of their text, and equal rows (of which a range may
+hold a part only) stay separate documents. An empty table gives an empty store. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from .words import by_size
 
 WINDOW, AVERAGE, LONGEST = 16, 512, 8192
 DIGEST = 16
+PAGE = 4096
 
 
 @dataclass(frozen=True)
@@ -82,13 +83,13 @@ def chunk_ends(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return cuts
 
 
-_STAGED = "doc_id long, tie long, n_tokens long, root binary, recipe array<struct<chunk_id:binary,n_ids:int>>, payload array<binary>"
+_STAGED = "doc_id long, tie long, copy long, n_tokens long, root binary, recipe array<struct<chunk_id:binary,n_ids:int>>, payload array<binary>"
 
 
 def _encode(path: str, end_id: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, spaces=True)
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("recipe", pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32())]))), ("payload", pa.list_(pa.binary()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("copy", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("recipe", pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32())]))), ("payload", pa.list_(pa.binary()))])
         for batch in batches:
             for part in by_size(batch, most=8 << 20):
                 ids, offsets, _, _ = tool.encode(part["text"])
@@ -106,7 +107,7 @@ def _encode(path: str, end_id: int, wide: bool):
                 recipe = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array((ends - starts).astype(np.int32))], ["chunk_id", "n_ids"])
                 roots = [merkle(names[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 where = pa.array(bounds)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), part["tie"].combine_chunks(), pa.array(np.diff(offsets)), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(where, recipe), pa.ListArray.from_arrays(where, pa.array(once, pa.binary()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().cast(pa.int64()), part["tie"].combine_chunks(), part["copy"].combine_chunks(), pa.array(np.diff(offsets)), pa.array(roots, pa.binary()), pa.ListArray.from_arrays(where, recipe), pa.ListArray.from_arrays(where, pa.array(once, pa.binary()))], schema=schema)
 
     return run
 
@@ -116,7 +117,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
     spark = docs.sparkSession
     wide = end_id >= 1 << 16 or _vocabulary_size(vocabulary) > 1 << 16
     staging = f"{path}/staging"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
     rows.mapInArrow(_encode(vocabulary_path(vocabulary), end_id, wide), _STAGED).write.option("compression", "zstd").parquet(staging)
     staged = spark.read.schema(_STAGED).parquet(staging)
 
@@ -132,9 +133,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
     )
     # recipes in ascending doc_id order; first by range, then with the ids before each range added
     (
-        staged.select("doc_id", "tie", "n_tokens", "root", "recipe")
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
+        staged.select("doc_id", "tie", "copy", "n_tokens", "root", "recipe")
+        .repartitionByRange("doc_id", "tie", "copy")
+        .sortWithinPartitions("doc_id", "tie", "copy")
+        .drop("copy")
         .withColumn("part", F.spark_partition_id())
         .withColumn("place", F.monotonically_increasing_id())
         .write.option("compression", "zstd")
@@ -153,14 +155,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.json
         .write.option("compression", "zstd")
         .parquet(f"{path}/recipes")
     )
-    roots = spark.read.parquet(f"{path}/recipes").select("part", "place", "root")
-    (
-        roots.groupBy("part")
-        .applyInArrow(_part_root, "part int, root binary")
-        .join(F.broadcast(firsts), "part")
-        .select("part", "first", "n_docs", "n_tokens", "root")
-        .write.parquet(f"{path}/manifest")
-    )
+    _pages(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     discard(spark, staging)
     discard(spark, f"{path}/ranges")
     return Store(path)
@@ -172,9 +167,31 @@ def _vocabulary_size(vocabulary: str) -> int:
     return Tokenizer.from_file(vocabulary_path(vocabulary)).get_vocab_size()
 
 
-def _part_root(key: tuple, table: pa.Table) -> pa.Table:
+def _pages(recipes: DataFrame) -> DataFrame:
+    """The manifest of ``recipes``: part, page, first, n_docs, n_tokens, root."""
+    page = F.floor((F.col("place") % (1 << 33)) / PAGE).alias("page")  # a row's number inside its range
+    return recipes.select("part", page, "place", "doc_id", "start", "n_tokens", "root").groupBy("part", "page").applyInArrow(_page_root, "part int, page long, first long, n_docs long, n_tokens long, root binary")
+
+
+def _page_root(key: tuple, table: pa.Table) -> pa.Table:
     table = table.sort_by("place")
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "root": pa.array([merkle(table["root"].to_pylist())], pa.binary())})
+    leaves = [f"{i},{a},{n},".encode() + root for i, a, n, root in zip(*(table[c].to_pylist() for c in ("doc_id", "start", "n_tokens", "root")), strict=True)]
+    return pa.table({
+        "part": pa.array([key[0].as_py()], pa.int32()), "page": pa.array([key[1].as_py()], pa.int64()), "first": pa.array([pc.min(table["start"]).as_py()], pa.int64()), "n_docs": pa.array([table.num_rows], pa.int64()),
+        "n_tokens": pa.array([pc.sum(table["n_tokens"]).as_py()], pa.int64()), "root": pa.array([merkle(leaves)], pa.binary()),
+    })
+
+
+def check_manifest(spark: SparkSession, store: Store) -> None:
+    """Fails unless the recipes are the manifest's, page by page, and the pages' ids follow each other without a gap."""
+    names = ["part", "page", "first", "n_docs", "n_tokens", "root"]
+    have, want = _pages(store.table(spark, "recipes")).select(names), store.table(spark, "manifest").select(names)
+    wrong = have.exceptAll(want).unionByName(want.exceptAll(have)).select("part", "page").first()
+    if wrong is not None:
+        raise ValueError(f"the recipes of range {wrong.part}, page {wrong.page}, are not the manifest's")
+    sums = want.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.max(F.col("first") + F.col("n_tokens")), F.lit(0)).alias("end"), F.min("first").alias("first")).first()
+    if sums.n != sums.end or sums.first not in (0, None):
+        raise ValueError("the manifest lacks pages")
 
 
 def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +232,7 @@ def _check_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the store's files."""
+    check_manifest(spark, store)
     chunks = store.table(spark, "chunks").mapInArrow(_check_chunks, "chunk_id binary, n_ids int, crc long")
     recipes = store.table(spark, "recipes")
     uses = recipes.select("start", "n_tokens", "root", "recipe").mapInArrow(_check_roots, "start long, chunk_id binary, ids_after long")
@@ -232,16 +250,27 @@ def read_digests(spark: SparkSession, store: Store) -> DataFrame:
 
 def read_ids(spark: SparkSession, store: Store) -> DataFrame:
     """doc_id, start and the ids (array of int) of every document, rebuilt from its recipe."""
+    check_manifest(spark, store)
     chunks = store.table(spark, "chunks")
-    uses = store.table(spark, "recipes").select("doc_id", "start", F.posexplode("recipe").alias("seq", "c")).select("doc_id", "start", "seq", "c.chunk_id")
-    whole = uses.join(chunks, "chunk_id", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "n_ids", "payload"))).alias("parts"))
+    uses = store.table(spark, "recipes").select("doc_id", "start", "root", F.posexplode("recipe").alias("seq", "c")).select("doc_id", "start", "root", "seq", "c.chunk_id")
+    parts = F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "n_ids", "payload"))).alias("parts")
+    whole = uses.join(chunks, "chunk_id", "left").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("root").alias("root"), parts)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(p["payload"], "<u4" if len(p["payload"]) == 4 * p["n_ids"] else "<u2").astype(np.int32) for p in parts]) for parts in batch["parts"].to_pylist()]
+            ids = []
+            for parts, root in zip(batch["parts"].to_pylist(), batch["root"].to_pylist(), strict=True):
+                for p in parts:
+                    if p["payload"] is None:
+                        raise ValueError(f"chunk {p['chunk_id'].hex()} is missing")
+                    if hashlib.blake2b(p["payload"], digest_size=DIGEST).digest() != p["chunk_id"]:
+                        raise ValueError(f"chunk {p['chunk_id'].hex()} doesn't match its id")
+                if merkle([p["chunk_id"] for p in parts]) != root:
+                    raise ValueError("a recipe doesn't match its Merkle root")
+                ids.append(np.concatenate([np.frombuffer(p["payload"], "<u4" if len(p["payload"]) == 4 * p["n_ids"] else "<u2").astype(np.int32) for p in parts]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "parts").mapInArrow(joined, "doc_id long, start long, ids array<int>")
+    return whole.select("doc_id", "start", "root", "parts").mapInArrow(joined, "doc_id long, start long, ids array<int>")
 
 
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:

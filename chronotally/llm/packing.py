@@ -146,8 +146,9 @@ def _pack(path: str, end_id: int, length: int):
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, length: int = 2048) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # the row's number only parts equal rows, so that a range may end between them
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("copy"))
+    ordered = rows.repartitionByRange("doc_id", "tie", "copy").sortWithinPartitions("doc_id", "tie", "copy").select("doc_id", "text")
     pieces = stage(ordered.mapInArrow(_pack(vocabulary_path(vocabulary), end_id, length), PIECES), "pieces")
     # sequences are numbered in order; one row for each partition, whose number is set
     counts = pieces.groupBy("part").agg((F.max("sequence") + 1).alias("n"))

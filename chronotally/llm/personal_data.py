@@ -19,9 +19,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ ACCEPT = 0.7
 # fixed values: the patterns of the base kinds
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # leftmost matches never start inside digits
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # fixed values: the gazetteers
@@ -73,6 +75,11 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ips(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of four numbers, each at most 255."""
+    return [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+
+
 def _only(chars: str) -> str:
     return "".join(c for c in chars if "0" <= c <= "9")
 
@@ -80,7 +87,7 @@ def _only(chars: str) -> str:
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out = {"email": emails(text), "ip": [], "card": [], "phone": []}
     if "." in text:
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and all(len(p.lstrip("0")) <= 3 for p in m[0].split("."))]
+        out["ip"] = ips(text)
     out["card"] = [m.span() for m in _CARD.finditer(text) if 16 <= len(d := _only(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out["phone"] = [m.span() for m in _PHONE.finditer(text) if 8 <= len(_only(m[0])) <= 15]
@@ -136,9 +143,12 @@ def found_in(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[st
     """Base spans, and the proposals that touch none of them, with their patterns; of overlapping ones the first."""
     base = base_spans(text)
     taken = sorted(s for spans in base.values() for s in spans)
+    starts = [a for a, _ in taken]
+    reach = list(accumulate((b for _, b in taken), max))  # the furthest end of the spans so far
     further, last = [], -1
     for kind, start, end, votes in sorted(proposals(text), key=lambda p: (p[1], -p[2])):
-        if start < last or any(a < end and start < b for a, b in taken):
+        before = bisect_left(starts, end)  # base spans that start before this one ends
+        if start < last or (before and reach[before - 1] > start):
             continue
         last = end
         further.append((kind, start, end, features(kind, end - start, sum(c.isdigit() for c in text[start:end]), votes)))
@@ -219,7 +229,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nothing = hashlib.sha256(b"").hexdigest()
@@ -229,18 +239,19 @@ def detect(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for batch in batches:
             for part in by_size(batch):
                 look = _worth_a_look(part["text"])
-                counts, sums, joined = np.zeros((4, part.num_rows), dtype=np.int64), [nothing] * part.num_rows, [""] * part.num_rows
+                counts, sums, joined = np.zeros((5, part.num_rows), dtype=np.int64), [nothing] * part.num_rows, [""] * part.num_rows
                 at = np.flatnonzero(look)
                 for k, text in zip(at.tolist(), part["text"].filter(pa.array(look)).to_pylist(), strict=True):
                     spans = spans_of(text, own)
+                    counts[4, k] = len(spans)
                     if spans:
                         base = [s for s in spans if s[0] in BASE]
                         for kind, _, _ in base:
                             counts[BASE.index(kind), k] += 1
                         sums[k], joined[k] = hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)
-                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), *map(pa.array, counts), pa.array(sums, pa.string()), pa.array(joined, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks(), *map(pa.array, counts[:4]), pa.array(sums, pa.string()), pa.array(joined, pa.string()), pa.array(counts[4])], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronotally.llm import attention_lm, content_store, jaccard_join, licences, packing, personal_data, quality_rules, recompression
@@ -53,9 +54,9 @@ def test_recompression_is_consistent(rounds):
 
     found = []
     for values, shift in ((base, 100), (other, 57)):
-        names, low, high = recompression.compress(mix(values + np.uint64(1)), np.zeros(len(values), dtype=int), rounds)
-        inside = (low >= shift) & (high <= shift + 100)
-        found.append(set(zip(names[inside].tolist(), (low[inside] - shift).tolist(), (high[inside] - shift).tolist(), strict=True)))
+        s = recompression.compress(np.stack([mix(values + np.uint64(k)) for k in (1, 99)], axis=1), np.zeros(len(values), dtype=int), rounds)
+        inside = (s.low >= shift) & (s.high <= shift + 100)
+        found.append(set(zip(s.names[inside, 0].tolist(), s.names[inside, 1].tolist(), *((x[inside] - shift).tolist() for x in (s.start, s.end, s.low, s.high)), strict=True)))
     assert found[0] == found[1] and found[0]
 
 
@@ -90,9 +91,33 @@ def test_store_finds_damage(spark, ordinary):
     for damaged in (bad, bad[1:]):
         path = new_path(spark, "damaged")
         spark.createDataFrame(damaged, "chunk_id binary, n_ids int, payload binary").write.parquet(f"{path}/chunks")
-        store.table(spark, "recipes").write.parquet(f"{path}/recipes")
-        with pytest.raises(Exception, match="chunk"):
-            content_store.read_digests(spark, content_store.Store(path)).collect()
+        for name in ("recipes", "manifest"):
+            store.table(spark, name).write.parquet(f"{path}/{name}")
+        for read in (content_store.read_digests, content_store.read_ids):
+            with pytest.raises(Exception, match="chunk"):
+                read(spark, content_store.Store(path)).collect()
+
+
+def test_manifest_finds_lost_and_altered_recipes(spark, ordinary, monkeypatch):
+    from .conftest import make
+
+    monkeypatch.setattr(content_store, "PAGE", 8)
+    store = content_store.write_store(make(spark, ordinary[:40]), new_path(spark, "store"))
+    content_store.check_manifest(spark, store)
+    recipes, manifest = store.table(spark, "recipes"), store.table(spark, "manifest")
+    assert manifest.count() >= 5
+    last = recipes.agg(F.max("start")).first()[0]
+    cases = [
+        (recipes.where(F.col("start") != last), manifest), (recipes.where("start > 0"), manifest), (recipes.unionByName(recipes.where("start = 0")), manifest), (recipes.withColumn("n_tokens", F.col("n_tokens") + (F.col("start") == 0).cast("int")), manifest), (recipes.withColumn("doc_id", F.col("doc_id") + (F.col("start") == 0).cast("int")), manifest),
+        (recipes.limit(0), manifest), (recipes, manifest.where("first > 0")),
+    ]
+    for rows, pages in cases:
+        path = new_path(spark, "damaged")
+        rows.write.parquet(f"{path}/recipes")
+        pages.write.parquet(f"{path}/manifest")
+        store.table(spark, "chunks").write.parquet(f"{path}/chunks")
+        with pytest.raises(ValueError, match="manifest"):
+            content_store.read_digests(spark, content_store.Store(path))
 
 
 def test_packing(spark, corpus):
@@ -399,3 +424,76 @@ def test_a_secret_is_one_whole_span(name):
     assert [text[a:b] for _, a, b, _ in personal_data.proposals(text)] == [value]
     key = "0123456789abcdef" * 12
     assert [s[1:3] for s in personal_data.proposals(f"x {key} y")] == [(2, 2 + len(key))]
+
+
+def test_word_hashes_keep_patterned_words_apart():
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 under every odd base."""
+    import pyarrow as pa
+
+    from chronotally.llm.words import hash_pairs
+
+    w = "a"
+    for _ in range(13):
+        w += w.translate(str.maketrans("ab", "ba"))
+    pair = hash_pairs(pa.array([w, w.translate(str.maketrans("ab", "ba")), w], pa.large_string()))
+    assert (pair[0] != pair[1]).all() and (pair[0] == pair[2]).all()
+
+
+def test_patterned_words_are_no_repeats(spark):
+    from .conftest import make
+
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(36))
+    docs = make(spark, [(1, f"{w} " + " ".join(["x"] * 20)), (2, w.translate(str.maketrans("ab", "ba")) + " " + " ".join(["x"] * 20)), (3, f"{w} {tail}"), (4, w.translate(str.maketrans("ab", "ba")) + f" {tail}")])
+    assert {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 36, 4: 36}
+
+
+def test_runs_of_signs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("1" * 1_000_000, "1." * 500_000, "1 " * 500_000, "+1" * 500_000, "a@" * 500_000, "a-" * 500_000, "=" * 1_000_000, "tel 12 " * 150_000):
+        personal_data.found_in(text)
+    assert time.perf_counter() - began < 15
+
+
+def plain_spans(text):
+    """The base spans by the patterns as they are given."""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m[0])) <= 15]
+
+
+def test_personal_data_against_plain_rules(spark):
+    """Random texts of the patterns' signs: base spans by the given patterns, further spans by a plain loop over the proposals."""
+    from .conftest import make
+
+    rng = np.random.default_rng(11)
+    signs = ["1", "2", "255", "256", "4111 1111 1111 1111", "+1 (555) 010-9999", "a.b@c.de", "@", ".", "-", " ", "+", "(", ")", "x", "tel ", "555-123-4567", "token=abcd1234efgh5678ijkl", "key: 'Zx81hd92ks01mv83'", "00ff" * 10, "joe [at] host [dot] org", "GB82 WEST 1234 5698 7654 32", "10.0.0.1", "é🙂"]
+    pairs = [(k, "".join(rng.choice(signs, rng.integers(1, 25)))) for k in range(400)] + [(900, None), (901, "")]
+    docs = make(spark, pairs)
+    model = personal_data.learn(docs)
+    rows = {r.doc_id: r for r in personal_data.detect(docs, model).collect()}
+    for i, text in pairs:
+        text = text or ""
+        base = plain_spans(text)
+        order = {k: n for n, k in enumerate((*personal_data.BASE, *personal_data.EXTRA))}
+        spans, last = list(base), -1
+        for kind, a, b, votes in sorted(personal_data.proposals(text), key=lambda p: (p[1], -p[2])):
+            if a >= last and not any(x < b and a < y for _, x, y in base):
+                last = b
+                if model.accepts(personal_data.features(kind, b - a, sum(c.isdigit() for c in text[a:b]), votes)):
+                    spans.append((kind, a, b))
+        join = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(xs, key=lambda s: (order[s[0]], s[1])))
+        r = rows[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in personal_data.BASE)
+        assert r.base_sha256 == hashlib.sha256(join(base).encode()).hexdigest() and r.spans == join(spans) and r.n_spans == len(spans)
+    assert any(r.n_spans > r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows.values())

@@ -1,11 +1,14 @@
 """Quality rules whose thresholds carry a guarantee on labelled holdouts.
 
-Every document gets plain measures of its whole text. For each stratum (language) and rule (a measure and the
-direction that is bad), each cutoff of a fixed ladder would reject some of the labelled good documents; the exact
-(Clopper-Pearson) upper bound of that false rejection rate, at level ``DELTA`` divided by the number of all
-tests (strata x rules x cutoffs, Bonferroni), must be at most ``ALPHA``. Of the cutoffs that pass and would reject a
-labelled bad document, the strictest is taken; a stratum without enough labels gets no cutoff, so nothing is rejected there on
-no evidence. With probability 1 - DELTA every chosen rule rejects at most ALPHA of its stratum's good documents.
+Every document gets plain measures of its whole text. A rule is a measure, the direction that is bad, and a fixed ladder of cutoffs. The
+labelled documents of a stratum (language) that pass the base rule are halved by a hash of the id. The first half designs: cutoffs that
+reject ``PRECISION`` times as many bad as good documents are put in order of the good ones they reject, which makes a sequence of sets of rules,
+each stricter than the one before. The second half, of which the design knows nothing, certifies: along that sequence, the exact
+(Clopper-Pearson) upper bound of the share of good documents that all rules so far reject together must be at most ``ALPHA``, at
+level ``DELTA`` divided by the number of strata; the first set that fails ends the sequence. Testing in a fixed order
+that stops at the first failure needs no further correction inside a stratum, and Bonferroni's covers the strata. So with
+probability 1 - DELTA, in every stratum all chosen rules together reject at most ALPHA of the good documents. A stratum with too few labels
+gets no cutoff, so nothing is rejected there on no evidence.
 
 Defined results: a null text has no words and fails the base rule. Null languages are one stratum. Null labels and labels of
 unknown ids are ignored; several labels of an id count as their rounded mean; each row of a repeated id counts as a document.
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import documents, stage
 from .words import U64, by_size, encode_split, hash_strings, mix, plain, span_hash, split_words
 
-ALPHA, DELTA = 0.02, 0.05
+ALPHA, DELTA, PRECISION = 0.05, 0.05, 4
 #: Measures in which a high value is bad, and their ladders of cutoffs (reject above).
 LADDERS = {
     "symbol_share": [0.01 * 1.35**k for k in range(12)],
@@ -36,6 +39,8 @@ LADDERS = {
     "mean_word": [7.0 * 1.12**k for k in range(9)],
     "again_share": [0.05 * 1.35**k for k in range(10)],
 }
+#: Strata whose few numbers each are broadcast; more are joined by a shuffle.
+BROADCAST_STRATA = 100_000
 MEASURES = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long, n_again long"
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -126,40 +131,87 @@ def upper_bound(wrong: int, n: int, level: float) -> float:
     return high
 
 
+CUTS = "stratum string, " + ", ".join(f"cut_{rule} double" for rule in LADDERS)
+_PATH = pa.list_(pa.struct([("rule", pa.int32()), ("cutoff", pa.float64())]))
+
+
+def sequence(counts: dict) -> list[tuple[int, float]]:
+    """The steps (rule, cutoff) of a stratum in the order in which they are certified. counts: n_good, g_ and b_ of each rule and cutoff."""
+    steps = []
+    for rule, (name, ladder) in enumerate(LADDERS.items()):
+        for k, cutoff in enumerate(ladder):
+            good, bad = counts[f"g_{name}_{k}"], counts[f"b_{name}_{k}"]
+            if bad and bad >= PRECISION * good and good <= ALPHA * counts["n_good"]:
+                steps.append((good, -bad, rule, cutoff))
+    path, strictest = [], {}
+    for _, _, rule, cutoff in sorted(steps):
+        if cutoff < strictest.get(rule, float("inf")):
+            strictest[rule] = cutoff
+            path.append((rule, cutoff))
+    return path
+
+
+def certified(rejected: list[int], n: int, level: float) -> int:
+    """How many steps pass in order; rejected: good documents that each step's set of rules rejects, of ``n``."""
+    for k, wrong in enumerate(rejected):
+        if wrong > ALPHA * n or upper_bound(wrong, n, level) > ALPHA:
+            return k
+    return len(rejected)
+
+
 def thresholds(labelled: DataFrame) -> DataFrame:
-    """One row for each stratum: its chosen cutoff of each rule (null: none). labelled: shares, stratum, label."""
+    """One row for each stratum: its chosen cutoff of each rule (null: none). labelled: doc_id, shares, stratum, label."""
     good, bad = F.col("label") == 1, F.col("label") == 0
-    sums = [F.count_if(good).alias("n_good")]
+    labelled = labelled.withColumn("design", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    sums = [F.count_if(good & F.col("design")).alias("n_good"), F.count_if(good & ~F.col("design")).alias("n")]
     for rule, ladder in LADDERS.items():
         for k, cutoff in enumerate(ladder):
-            sums += [F.count_if(good & (F.col(rule) > cutoff)).alias(f"g_{rule}_{k}"), F.count_if(bad & (F.col(rule) > cutoff)).alias(f"b_{rule}_{k}")]
-    counts = labelled.groupBy("stratum").agg(*sums)
+            over = F.col("design") & (F.col(rule) > cutoff)
+            sums += [F.count_if(good & over).alias(f"g_{rule}_{k}"), F.count_if(bad & over).alias(f"b_{rule}_{k}")]
+    counts = stage(labelled.groupBy("stratum").agg(*sums), "rule_counts")
     strata = max(1, counts.count())
-    tests = strata * sum(map(len, LADDERS.values()))
+
+    def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            paths = [[{"rule": rule, "cutoff": cutoff} for rule, cutoff in sequence(r)] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["stratum"] for r in rows], pa.string()), pa.array([r["n"] for r in rows], pa.int64()), pa.array(paths, _PATH)], names=["stratum", "n", "path"])
+
+    paths = stage(counts.mapInArrow(design, "stratum string, n long, path array<struct<rule:int,cutoff:double>>"), "rule_paths")
+    small = F.broadcast(paths) if strata <= BROADCAST_STRATA else paths
+    values = F.array(*LADDERS)
+    # the first step that rejects each certifying document: at most one count for each step
+    hit = F.array_position(F.transform("path", lambda p: F.element_at(values, p["rule"] + 1) > p["cutoff"]), True)
+    first = labelled.where(good & ~F.col("design")).join(small, "stratum").select("stratum", hit.alias("step")).where("step > 0").groupBy("stratum", "step").agg(F.count("*").alias("n_hit"))
+    hits = first.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("step", "n_hit"))).alias("hits"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
+                seen = dict(r["hits"] or [])
+                rejected = np.cumsum([seen.get(k + 1, 0) for k in range(len(r["path"]))], dtype=np.int64).tolist()
                 chosen = {"stratum": r["stratum"]}
-                for rule, ladder in LADDERS.items():
-                    passed = [c for k, c in enumerate(ladder) if r["n_good"] and r[f"b_{rule}_{k}"] and r[f"g_{rule}_{k}"] <= ALPHA * r["n_good"] and upper_bound(r[f"g_{rule}_{k}"], r["n_good"], DELTA / tests) <= ALPHA]
-                    chosen[f"cut_{rule}"] = min(passed, default=None)
+                for p in r["path"][: certified(rejected, r["n"], DELTA / strata)]:
+                    name = f"cut_{list(LADDERS)[p['rule']]}"
+                    chosen[name] = min(chosen.get(name, float("inf")), p["cutoff"])
                 rows.append(chosen)
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("stratum", pa.string()), *((f"cut_{rule}", pa.float64()) for rule in LADDERS)]))
 
-    return counts.mapInArrow(choose, "stratum string, " + ", ".join(f"cut_{rule} double" for rule in LADDERS))
+    return paths.join(hits, "stratum", "left").mapInArrow(choose, CUTS)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The measures of each document with base_failed, the cutoffs of its stratum and kept."""
     rows = shares(stage(measured(docs), "measures"))
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    cuts = thresholds(rows.join(marks, "doc_id"))
+    cuts = stage(thresholds(rows.where("not base_failed").join(marks, "doc_id")), "rule_cuts")
     rejected = F.lit(False)
     for rule in LADDERS:
         rejected = rejected | F.coalesce(F.col(rule) > F.col(f"cut_{rule}"), F.lit(False))
-    return rows.join(cuts, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+    # one row for each language
+    small = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
+    return rows.join(small, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ Only rows whose crc32(doc_id as text) mod 3 is not 1 are learnt from. Language,
 
 Defined results: a null text counts as empty. A text without terms, or a table without training labels, gets the
 score 0.5 (predicted 1); with one class only, that class wins. Null labels and labels of unknown ids are ignored; several
-labels of one id count as their mean, rounded. A null doc_id is never held out. Repeated rows are scored each.
+labels of one id count as their mean, rounded. A null doc_id is never held out. Repeated rows are scored each; of several rows of a
+labelled id the one whose text has the least hash is learnt from. Neighbours as near as the last one share the places that are left.
+An empty table gives no rows; extra columns stay, but for held_out, score and predicted, which are replaced.
 """
 
 from __future__ import annotations
@@ -74,12 +76,18 @@ class Model:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         near = np.maximum(self.project(counts) @ self.vectors.T, 0)
-        k = min(NEIGHBOURS, near.shape[1])
-        best = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-        weight = np.take_along_axis(near, best, axis=1).astype(np.float64) ** SHARPNESS
-        total = weight.sum(axis=1)
+        n = near.shape[1]
+        k = min(NEIGHBOURS, n)
+        last = np.partition(near, n - k, axis=1)[:, n - k, None]  # similarity of the k-th neighbour
+        closer = near > last
+        # those as near as the k-th share the places that are left
+        tied = near == last
+        share = (k - closer.sum(axis=1)) / tied.sum(axis=1)
+        weight = near.astype(np.float64) ** SHARPNESS
+        votes = lambda w: (w * closer).sum(axis=1) + share * (w * tied).sum(axis=1)
+        total = votes(weight)
         # no neighbour at all leaves the even prior
-        return np.where(total > 0, (weight * self.labels[best]).sum(axis=1) / np.where(total > 0, total, 1), 0.5)
+        return np.where(total > 0, votes(weight * self.labels) / np.where(total > 0, total, 1), 0.5)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -131,7 +139,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 x PER_CLASS ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "label")
+    # of rows that share an id the one whose text has the least hash
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).select("text", "label")
     found = rows.mapInArrow(_features, "terms binary, label int").collect()  # bounded by PER_CLASS x TERMS
     return fit(sorted(((bytes(r.terms), r.label) for r in found), key=lambda r: (r[1], r[0])))
 

@@ -1,9 +1,11 @@
 """Trained operators: held-out accuracy, guarantees, planted cases, awkward tables; and the pipeline."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronotally.llm import decontaminate, quality_knn, quality_rules
 from chronotally.llm.components import components
@@ -53,6 +55,73 @@ def test_rules_keep_good_documents(spark, labelled):
     assert quality_rules.judge(docs.limit(0), labels).count() == 0
 
 
+def test_rules_against_a_plain_loop(spark, monkeypatch):
+    """Cutoffs and verdicts equal those of a loop over all documents, on a table where some cutoffs are certified and some are not."""
+    rng = random.Random(21)
+    pairs = [(k, prose(rng, rng.randint(15, 60)) if k % 4 else junk(rng, rng.randint(15, 60))) for k in range(1200)]
+    pairs += [(k, prose(rng, 30) + " $$$$ ||||") for k in range(1200, 1230)]
+    docs = make(spark, pairs)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0) if k < 1200 else 1) for k, _ in pairs], "doc_id long, quality int")
+    rows = [r.asDict() for r in quality_rules.shares(quality_rules.measured(docs)).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()]
+    label = {k: int(k % 4 > 0) if k < 1200 else 1 for k, _ in pairs}
+    strata = {r["stratum"] for r in rows}
+    want = {}
+    for stratum in strata:
+        own = [r for r in rows if r["stratum"] == stratum and not r["base_failed"]]
+        first, second = [r for r in own if r["half"] == 0], [r for r in own if r["half"] == 1 and label[r["doc_id"]] == 1]
+        n = sum(label[r["doc_id"]] for r in first)
+        steps = []
+        for number, (rule, ladder) in enumerate(quality_rules.LADDERS.items()):
+            for cutoff in ladder:
+                good = sum(r[rule] > cutoff and label[r["doc_id"]] == 1 for r in first)
+                bad = sum(r[rule] > cutoff and label[r["doc_id"]] == 0 for r in first)
+                if bad and bad >= 4 * good and good <= 0.05 * n:
+                    steps.append((good, -bad, number, cutoff, rule))
+        cuts = {}
+        for _, _, _, cutoff, rule in sorted(steps):
+            trial = cuts | {rule: min(cutoff, cuts.get(rule, 1e9))}
+            wrong = sum(any(r[x] > c for x, c in trial.items()) for r in second)
+            # the chance of so few rejections, were the rate 5 %, must be at most the level
+            if not second or sum(math.comb(len(second), k) * 0.05**k * 0.95 ** (len(second) - k) for k in range(wrong + 1)) > 0.05 / len(strata):
+                break
+            cuts = trial
+        want |= {r["doc_id"]: not r["base_failed"] and not any(r[x] > c for x, c in cuts.items()) for r in rows if r["stratum"] == stratum}
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, labels).collect()}
+    assert got == want
+    base = {r["doc_id"]: not r["base_failed"] for r in rows}
+    assert got != base  # some cutoff was certified
+    good = [k for k in label if label[k] == 1 and base[k]]
+    assert sum(not got[k] for k in good) <= 0.05 * len(good)
+
+
+def test_classifier_against_plain_loops(spark, labelled):
+    """Every document's score from plain cosines to all labelled vectors, ties at the last place shared."""
+    docs, labels = labelled
+    model = quality_knn.learn(docs, labels)
+    rows = quality_knn.score(docs.select("doc_id", "text"), model).collect()
+    import pyarrow as pa
+
+    for r in rows[::7]:
+        vector = quality_knn.term_counts(pa.array([r.text], pa.string()))[0] * model.idf
+        vector = vector / (np.sqrt((vector**2).sum()) or 1) @ model.directions
+        vector = vector / (np.sqrt((vector**2).sum()) or 1)
+        near = sorted(((max(float(sum(a * b for a, b in zip(vector.tolist(), v, strict=True))), 0.0), y) for v, y in zip(model.vectors.tolist(), model.labels.tolist(), strict=True)), reverse=True)
+        last = near[quality_knn.NEIGHBOURS - 1][0]
+        closer, tied = [x for x in near if x[0] > last + 1e-6], [x for x in near if abs(x[0] - last) <= 1e-6]
+        share = (quality_knn.NEIGHBOURS - len(closer)) / len(tied)
+        total = sum(s**4 for s, _ in closer) + share * sum(s**4 for s, _ in tied)
+        want = (sum(s**4 * y for s, y in closer) + share * sum(s**4 * y for s, y in tied)) / total if total else 0.5
+        assert abs(r.score - want) < 1e-3
+
+
+def test_ties_share_the_last_places():
+    vectors = np.tile(np.array([[1.0, 0.0]], np.float32), (60, 1))
+    model = quality_knn.Model(np.ones(quality_knn.TERMS, np.float32), np.eye(quality_knn.TERMS, 2, dtype=np.float32), vectors, np.array([1.0] * 15 + [0.0] * 45))
+    counts = np.zeros((1, quality_knn.TERMS), np.float32)
+    counts[0, 0] = 1
+    assert abs(model.scores(counts)[0] - 0.25) < 1e-9
+
+
 @pytest.mark.parametrize("wrong,n,level", [(0, 10, 0.05), (3, 50, 0.01), (10, 10, 0.05), (1, 1000, 1e-4)])
 def test_upper_bound_is_exact(wrong, n, level):
     from math import comb

@@ -497,3 +497,63 @@ def test_personal_data_against_plain_rules(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in personal_data.BASE)
         assert r.base_sha256 == hashlib.sha256(join(base).encode()).hexdigest() and r.spans == join(spans) and r.n_spans == len(spans)
     assert any(r.n_spans > r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows.values())
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details."""
+
+
+def commented(text, first, each, last):
+    return first + "\n".join(each + line for line in text.split("\n")) + last
+
+
+@pytest.mark.parametrize("first,each,last", [("", "", ""), ("/*\n", " * ", "\n */\nint main() {}"), ("", "// ", "\ncode();"), ("#!/bin/sh\n", "# ", "\nset -e"), ("", ";; ", ""), ("", "\t", "")])
+def test_licence_texts_in_comments(spark, first, each, last):
+    docs = spark.createDataFrame([(k, commented(t, first, each, last)) for k, t in enumerate((MIT, ISC, LGPL))], "doc_id long, text string")
+    got = {r.doc_id: r.licences.split(",") for r in licences.scan(docs).collect()}
+    assert "MIT-text" in got[0] and got[1] == ["ISC-text"] and got[2] == ["LGPL-2.1-header"]
+
+
+def test_licences_equal_the_sql(spark, awkward):
+    """On texts put together from sentences, wraps, list marks, versions, odd white space; with null and repeated ids."""
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    parts = [MIT, ISC, LGPL, "All rights  reserved.", "All Rights-Reserved", "Released under the MIT License.", "licensed under the\nMIT license.", "under the Mozilla Public License, v. 2.0.", "\n\n", "\n", " ", "\n1. ", "\n (a) ", "\nv. ", ": \n", "! ", "v.\n2", " * ", "page\n12? Foo", "Copyright 2020 X\n", "# Heading\n# ", "This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: MIT", "\x0b", "\t", "a. b", "?\n"]
+    pairs = [(k % 170 if k % 11 else None, "".join(rng.choice(parts, rng.integers(1, 12)))) for k in range(400)] + awkward + [(7, None), (7, "MIT License")]
+    docs = spark.createDataFrame([(i, t) for i, t in pairs], "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    same(licences.scan(docs).collect(), con.execute(licences.sql()).fetchall())

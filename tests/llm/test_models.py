@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +161,61 @@ def test_leaks(spark, leaky):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_against_whole_alignments(spark, leaky):
+    """(doc, item) pairs equal those of aligning every item with every whole text; so does each best score."""
+    import pyarrow as pa
+
+    docs, bench = leaky
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    hashed = lambda t: (lambda x: x[3][x[0]])(decontaminate.normal_words(pa.array([t or ""], pa.string())))
+    texts, wanted = [hashed(t) for _, t in rows], {}
+    for item, t in items:
+        own = hashed(t)
+        if not len(own):
+            continue
+        for (doc, _), text in zip(rows, texts, strict=True):
+            if len(text):
+                best = decontaminate.align(own[None, :], np.array([len(own)]), text[None, :])[0][0] / (2 * len(own))
+                if best >= decontaminate.THRESHOLD:
+                    wanted[doc, item] = max(best, wanted.get((doc, item), 0))
+    got = {}
+    for r in decontaminate.leaks(docs, bench).collect():
+        got[r.doc_id, r.item_id] = max(r.score, got.get((r.doc_id, r.item_id), 0))
+    assert got == wanted
+
+
+def test_every_copy_in_a_text_is_a_row(spark):
+    rng = random.Random(3)
+    item = prose(rng, 25)
+    gaps = {1: 0, 2: 25, 3: 100, 4: 7}
+    docs = make(spark, [(k, f"{prose(rng, 12)} {item} {prose(rng, gap)} {item} {prose(rng, 9)}") for k, gap in gaps.items()] + [(5, " ".join([item] * 400))])
+    rows = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert Counter(r.doc_id for r in rows) == {1: 2, 2: 2, 3: 2, 4: 2, 5: 400}
+    for r in rows:
+        assert r.score > 0.95
+
+
+@pytest.mark.parametrize("every,least", [(7, 1.0), (5, 1.0), (4, 1.0), (3, 0.95)])
+def test_recall_by_edit_rate(spark, every, least):
+    """Copies of which every so-many-th word is another one; at every third the score is just over the threshold."""
+    rng = random.Random(every)
+    items = [(k, prose(rng, 36)) for k in range(40)]
+    edited = [(k, f"{prose(rng, 40)} {' '.join('changed%d' % j if j % every == every - 1 else w for j, w in enumerate(t.split(' ')))} {prose(rng, 40)}") for k, t in items]
+    rows = decontaminate.leaks(make(spark, edited), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len({r.doc_id for r in rows if r.doc_id == r.item_id}) >= least * len(items)
+
+
+def test_items_of_one_template(spark, monkeypatch):
+    """What many items share is no seed, unless nothing else is there; the items' own words find their copies."""
+    monkeypatch.setattr(decontaminate, "SHARED", 3)
+    rng = random.Random(5)
+    items = [(k, f"which of the following is the right answer to this question {prose(rng, 12)}") for k in range(30)]
+    docs = make(spark, [(k, f"{prose(rng, 30)} {t} {prose(rng, 30)}") for k, t in items] + [(100 + k, f"{prose(rng, 30)} which of the following is the right answer to this question {prose(rng, 30)}") for k in range(20)])
+    rows = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows if r.score > 0.9} == {(k, k) for k in range(30)}
+
+
 def test_items_in_blocks_give_the_same(spark, leaky, monkeypatch):
     docs, bench = leaky
     want = {tuple(r) for r in decontaminate.leaks(docs, bench).select("doc_id", "item_id").collect()}

@@ -6,11 +6,14 @@ of fewer tokens keeps all); these are the first steps of all runs at once, and a
 a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash); a larger one is split: each
 of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average and more from a
-small sample. After ``DEPTH`` steps the sets of a bucket share so many random tokens that it is kept together without comparing.
-
-Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common, which loses such a pair of
-similarity 0.8 with a chance of up to 8e-4 in one run. So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
-its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances stays under 1e-9, so
+small sample. From ``DEPTH`` steps on, a large bucket's sets are also held against one of them (the pivot) on sketches: where all are like the
+pivot, as in a group of near copies, the bucket ends as links to it; else it is split further, so that texts that only share a passage part, as fewer than one of their
+extensions is common on average. After ``DEEPEST`` steps a bucket is kept together without comparing.
+
+Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common. For a pair of
+similarity 0.8 that is a branching process of 16 first paths with 1.33 common extensions each; all of them die within ``DEEPEST`` steps with a chance of up to 2e-3 in
+one run (8e-4 within three). So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
+its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances stays under 1e-8, so
 that the miss chance with splitting included is that of the first tokens, under 1e-6.
 
 Sketch matches and kept buckets only make candidate groups (their connected components). Inside a group every pair is then compared exactly
@@ -34,7 +37,7 @@ from .shared import shuffle_width, stage
 from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_words
 
 GRAM, THRESHOLD = 5, 0.8
-SAMPLED, SMALL, BRANCH, DEPTH, BLOCK = 18.0, 128, 1.5, 3, 512
+SAMPLED, SMALL, BRANCH, DEPTH, DEEPEST, BLOCK = 18.0, 128, 1.5, 3, 10, 256
 BINS, SKETCH_AT = 128, 0.55
 RUNS = 3
 STEPS = [f"steps{k}" for k in range(RUNS)]
@@ -168,7 +171,7 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     """The edges of one run, and the (path, vid) of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
     edges = split = None
-    for depth in range(1, DEPTH + 1):
+    for depth in range(1, DEEPEST + 1):
         # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
         sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
         met = stage(paths.join(sizes, "path"), "paths")
@@ -179,19 +182,35 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
         if large.isEmpty():
             break
         split = large if depth == 1 else split
-        if depth == DEPTH:
+        if depth == DEEPEST:
             least = large.groupBy("path").agg(F.min("vid").alias("b"))
             edges = edges.unionByName(large.join(least, "path").where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
             break
-        # a small sample extends more, up to all its tokens, as it has few paths that could find a pair
-        many = F.greatest(F.lit(1.0), SAMPLED / F.size("steps")) * BRANCH * (1 << 20)
-        step = F.filter("steps", lambda t: (t != F.col("path")) & (F.pmod(F.xxhash64("path", t, F.lit(run)), F.lit(1 << 20)) * F.size("steps") < many))
+        if depth >= DEPTH:
+            pivots = large.groupBy("path").agg(F.min("vid").alias("pivot")).join(sets.select(F.col("vid").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+            held = large.join(pivots, "path").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "pivot", "sketch", "pivot_sketch")
+            held = stage(held.mapInArrow(_like_pivot, "path long, vid long, pivot long, like boolean"), "pivots")
+            edges = edges.unionByName(held.where("like and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct())
+            mixed = stage(held.groupBy("path").agg(F.min("like").alias("all")).where("not all").select("path"), "mixed")
+            if mixed.isEmpty():
+                break
+            large = held.select("path", "vid").join(mixed, "path")
+        # a small sample extends more in the first steps, up to all its tokens, as it has few paths that could find a pair
+        boost = F.greatest(F.lit(1.0), SAMPLED / F.size("steps")) if depth < DEPTH else F.lit(1.0)
+        step = F.filter("steps", lambda t: (t != F.col("path")) & (F.pmod(F.xxhash64("path", t, F.lit(run)), F.lit(1 << 20)) * F.size("steps") < boost * BRANCH * (1 << 20)))
         longer = large.join(sets.select("vid", "steps"), "vid").select("vid", "path", F.explode(step).alias("t"))
         # the order of the steps doesn't matter to who shares them
         paths = longer.select("vid", F.xxhash64("path", "t", F.lit(depth)).alias("path"))
     return edges, split
 
 
+def _like_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Is each set's sketch like that of its bucket's pivot?"""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot_sketch"))
+        yield pa.RecordBatch.from_arrays([batch["path"], batch["vid"], batch["pivot"], pa.array(_alike(a, b))], names=["path", "vid", "pivot", "like"])
+
+
 def _sets(gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +291,7 @@ def _verify(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
-    """doc_id, tie (a hash of the text), class_id, n_links and n_shingles of every document of ``docs``."""
+    """doc_id, tie (a hash of the text), root (a number of the class; null without words), class_id, n_links and n_shingles of every document of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
     described = stage(rows.mapInArrow(_describe(gram), DESCRIBED), "described")
@@ -300,22 +319,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     classes = sets.select("vid", "sid", "least", "copies").join(roots.withColumnRenamed("vertex", "vid"), "vid", "left").join(links, "vid", "left")
     classes = stage(classes.select("sid", F.coalesce("root", "vid").alias("root"), "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     names = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(names, "root").select("sid", "class_id", "n_links")
+    classes = classes.join(names, "root").select("sid", "root", "class_id", "n_links")
     out = described.select("doc_id", "tie", "sid", "n").join(classes, "sid", "left")
-    return out.select("doc_id", "tie", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
+    return out.select("doc_id", "tie", "root", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("n").alias("n_shingles"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: of its smallest doc_id, then text hash; all without words stay."""
+    """``docs`` with one document of each class: of its smallest doc_id (null ones last), then text hash; all without words stay."""
     key = F.xxhash64("text")
     tie = next(name for name in (f"tie{k}" for k in range(len(docs.columns) + 1)) if name not in docs.columns)
-    firsts = near_duplicates(docs).where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
-    # classes of null ids only can't be told apart by their id: each distinct text stays
-    firsts = firsts.where("class_id is not null").select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie")).alias("first")
+    # by root: two classes may share their smallest doc_id
+    firsts = near_duplicates(docs).where("n_shingles > 0").groupBy("root").agg(first).select(F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie")).distinct()
     some = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
-    named = docs.where(some & F.col("doc_id").isNotNull()).withColumn(tie, key)
-    kept = named.join(firsts, (named["doc_id"].cast("long") == firsts["first_id"]) & (named[tie] == firsts["first_tie"]), "left_semi").dropDuplicates(["doc_id", tie]).drop(tie)
-    return kept.unionByName(docs.where(some & F.col("doc_id").isNull()).dropDuplicates(["text"])).unionByName(docs.where(~some))
+    rows = docs.where(some).withColumn(tie, key)
+    kept = rows.join(firsts, rows["doc_id"].cast("long").eqNullSafe(firsts["first_id"]) & (rows[tie] == firsts["first_tie"]), "left_semi").dropDuplicates(["doc_id", tie]).drop(tie)
+    return kept.unionByName(docs.where(~some))
 
 
 def sql(threshold: float = THRESHOLD, gram: int = GRAM) -> str:
@@ -332,4 +351,4 @@ SELECT d.doc_id, c.class_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_links, CAST(c
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).drop("tie")
+    return near_duplicates(docs).drop("tie", "root")

@@ -249,9 +249,83 @@ def test_one_of_each_class(spark, corpus):
     assert rows.columns == docs.columns
     kept = [(r.doc_id, r.text) for r in rows.collect()]
     assert all(k in pairs for k in kept)
-    classes = {(r.doc_id, r.tie): r.class_id for r in jaccard_join.near_duplicates(docs).where("n_shingles > 0 and doc_id is not null").collect()}
-    named = [i for i, t in kept if i is not None and words(t)]
-    assert sorted(named) == sorted(set(classes.values()))
+    # one for each class, also where two classes share their smallest doc_id or have none; it is the first by id, then text hash
+    members = defaultdict(list)
+    for r in jaccard_join.near_duplicates(docs).where("n_shingles > 0").collect():
+        members[r.root].append((r.doc_id is None, r.doc_id or 0, r.tie))
+    want = sorted(min(m)[:2] for m in members.values())
+    assert sorted((i is None, i or 0) for i, t in kept if words(t)) == want
+    assert sum(not words(t) for _, t in kept) == sum(not words(t) for _, t in pairs)
+
+
+def exact_links(texts):
+    """Numbers of links and least members of the classes, by brute force over pairs that share a shingle."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in map(words, texts)]
+    where = defaultdict(list)
+    for k, s in enumerate(sets):
+        for g in s:
+            where[g].append(k)
+    links, label = [set() for _ in sets], list(range(len(sets)))
+    for k, s in enumerate(sets):
+        shared = Counter(j for g in s for j in where[g] if j > k)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                links[k].add(j)
+                links[j].add(k)
+    for k in range(len(sets)):
+        if label[k] == k:
+            stack = [k]
+            while stack:
+                for j in links[stack.pop()]:
+                    if label[j] > k:
+                        label[j] = k
+                        stack.append(j)
+    return {k: (label[k], len(links[k])) for k in range(len(sets))}
+
+
+def linked(spark, texts):
+    from .conftest import make
+
+    return {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.op9(spark, make(spark, list(enumerate(texts)))).collect()}
+
+
+def test_templates_keep_all_their_links(spark):
+    """Buckets of over 128 short sets whose links are all of similarity 0.8: 60 templates of 8 words, 140 texts with one more word each."""
+    texts = []
+    for k in range(60):
+        base = " ".join(f"t{k}w{j}" for j in range(8))
+        texts += [base, *(f"{base} own{k}x{j}" for j in range(140))]
+    got = linked(spark, texts)
+    assert got == exact_links(texts) and sum(n for _, n in got.values()) == 2 * 60 * 140
+
+
+def test_common_passage_and_near_copies(spark, monkeypatch):
+    """Texts that share a passage only part in the deeper steps; near copies among them stay linked, and so do those of other similarities."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 12)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 60)
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{j}" for j in range(60))
+    texts = [passage + " " + " ".join(f"d{k}x{j}" for j in range(int(rng.integers(40, 160)))) for k in range(150)]
+    for k in range(60):
+        own = texts[k % 3].split(" ")
+        for at in rng.integers(0, len(own), k % 4):
+            own[at] = f"edit{k}x{at}"
+        texts.append(" ".join(own))
+    assert linked(spark, texts) == exact_links(texts)
+
+
+def test_recall_on_random_texts(spark, ordinary):
+    """Recall against brute force on edited copies of all rates; every link above the threshold is found."""
+    rng = np.random.default_rng(8)
+    texts = [t for _, t in ordinary]
+    for t in list(texts[:110]):
+        own = t.split(" ")
+        for _ in range(int(rng.integers(1, 6))):
+            own[int(rng.integers(0, len(own)))] = "other"
+        texts.append(" ".join(own))
+    want = exact_links(texts)
+    got = linked(spark, texts)
+    assert sum(n for _, n in got.values()) == sum(n for _, n in want.values()) and got == want
 
 
 def test_large_near_copy_group(spark, monkeypatch):

@@ -631,3 +631,72 @@ def test_licences_equal_the_sql(spark, awkward):
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
     same(licences.scan(docs).collect(), con.execute(licences.sql()).fetchall())
+
+
+def test_score_against_a_plain_loop(spark, ordinary):
+    """Every document's score from one token at a time: softmax over the visible window, class by class, and the word's share of its class."""
+    from .conftest import make
+
+    import pyarrow as pa
+
+    from chronotally.llm.subwords import encoder
+
+    docs = make(spark, ordinary[:60] + [(1000, None), (1001, ""), (1002, "unseen wörd \u65e5\u672c")])
+    fitted = attention_lm.learn(docs)
+    counts = {r.word: r.n for r in fitted.counts.collect()}
+    rows = {r.doc_id: r for r in attention_lm.score(docs, fitted).collect()}
+    m, tool = fitted.attention, encoder(vocabulary_path(attention_lm.VOCABULARY), spaces=True)
+    context, stride, end = attention_lm.CONTEXT, attention_lm.STRIDE, attention_lm.END
+    for i, text in [*ordinary[:4], (1000, ""), (1002, "unseen wörd \u65e5\u672c")]:
+        own = words(text.lower())
+        kind, entry, share = fitted.chain.words(tool, pa.array(own, pa.large_string()), np.array([counts.get(w, 0) for w in own])) if own else ([], [], [])
+        stream = [attention_lm.START, *entry]
+        total = float(sum(share))
+        for k in range(len(own) + 1):
+            # the window that scores this token: the inputs that it sees, each at its own place
+            first = k // stride * stride - context
+            seen = [(j - first, stream[j]) for j in range(max(first, 0), k + 1)]
+            x = [m.embed[c] + m.place[p] for p, c in seen]
+            q = x[-1] @ m.query
+            s = np.array([q @ (v @ m.key) / math.sqrt(attention_lm.WIDTH) for v in x], dtype=np.float64)
+            a = np.exp(s - s.max())
+            h = sum(w * (v @ m.value) for w, v in zip(a / a.sum(), x, strict=True)) + x[-1]
+            z = (h @ m.out + m.bias).astype(np.float64)
+            total += (z[kind[k] if k < len(own) else end] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
+        assert abs(rows[i].score - total) < 1e-3 * (1 + abs(total))
+
+
+def test_chances_sum_to_one(spark, ordinary):
+    """Inside each class the shares of all training words and of the unseen rest are at most one, and the classes sum to one."""
+    from .conftest import make
+
+    import pyarrow as pa
+
+    from chronotally.llm.subwords import encoder
+
+    fitted = attention_lm.learn(make(spark, ordinary[:60]))
+    rows = fitted.counts.collect()
+    kind, _, share = fitted.chain.words(encoder(vocabulary_path(attention_lm.VOCABULARY), spaces=True), pa.array([r.word for r in rows], pa.large_string()), np.array([r.n for r in rows]))
+    assert (np.bincount(kind, weights=10**share) <= 1 + 1e-6).all()
+    z = fitted.attention.forward(np.full((1, attention_lm.CONTEXT + attention_lm.STRIDE), attention_lm.START))["z"]
+    assert np.allclose(np.exp(z).sum(axis=2), 1, atol=1e-5)
+
+
+def test_gradients_are_differences(spark):
+    rng = np.random.default_rng(0)
+    model = attention_lm.new_attention(np.full(attention_lm.CLASSES, 1 / attention_lm.CLASSES))
+    rows = rng.integers(0, attention_lm.INPUTS, (3, attention_lm.CONTEXT + attention_lm.STRIDE))
+    rows[0, :5] = attention_lm.PAD
+    wanted = rng.integers(-1, attention_lm.CLASSES, (3, attention_lm.STRIDE))
+
+    def loss(m):
+        z = m.forward(rows)["z"]
+        w, t = np.nonzero(wanted >= 0)
+        return -z[w, t, wanted[w, t]].astype(np.float64).mean()
+
+    grads = attention_lm.gradients(model, rows, wanted)
+    for p in model.parameters():
+        direction = rng.standard_normal(getattr(model, p).shape)
+        moved = [attention_lm.Attention(**{n: getattr(model, n) + (s * 1e-2 * direction).astype(np.float32) if n == p else getattr(model, n) for n in model.parameters()}) for s in (1, -1)]
+        slope = (loss(moved[0]) - loss(moved[1])) / 2e-2
+        assert abs(slope - (grads[p] * direction).sum()) < 0.03 * max(abs(slope), 0.05)

@@ -6,21 +6,16 @@ back through Spark, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of our own only if it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    where = spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder; only where it is unset, a folder of our own in the warehouse, which is shared too."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronotally-"))
-        where = spark.sparkContext.getCheckpointDir()
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     return where.rstrip("/")
 
 
@@ -33,7 +28,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``stage`` wrote of these tables, when nothing will read them again."""
+    for table in tables:
+        discard(table.sparkSession, table.staged_path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,8 +12,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronotally-"))
-        where = spark.sparkContext.getCheckpointDir()
+        # unset, as in a plain session: the warehouse is shared too
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
     path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote of these tables, when nothing will read them again."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -37,6 +37,24 @@ def retract_attempts(attempts: DataFrame, meta_events: DataFrame) -> DataFrame:
     return kept.withColumn("supersedes", F.when(F.col("gone_id").isNull(), F.col("supersedes"))).drop("gone_id")
 
 
+def named_attempts(attempts: DataFrame, meta_events: DataFrame) -> DataFrame:
+    """The attempts that a retraction names: their calls and the events that those rest on."""
+    gone = _said(meta_events, "retraction").where("target_type = 'attempt'").select(F.col("target").alias("attempt_id")).distinct()
+    return attempts.join(gone, "attempt_id", "left_semi").select("attempt_id", "session_id", "tool_call_ids", "evidence")
+
+
+def without_calls(calls: DataFrame, gone: DataFrame) -> DataFrame:
+    """``calls`` but those of retracted attempts; with them go the edges that are made of calls."""
+    return calls.join(gone.select(F.explode("tool_call_ids").alias("tool_call_id")).distinct(), "tool_call_id", "left_anti")
+
+
+def without_handoffs(handoffs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``handoffs`` but those that rest on an event of a retracted attempt."""
+    cited = gone.select(F.explode("evidence").alias("event")).distinct()
+    told = handoffs.select("to_turn", F.explode("evidence").alias("event")).join(cited, "event", "left_semi").select("to_turn").distinct()
+    return handoffs.join(told, "to_turn", "left_anti")
+
+
 def _latest(said: DataFrame) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("said_at"), F.desc("event_id")))
     return said.withColumn("n", newest).where("n = 1").drop("n")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .events import MUTATING, ordered_distinct
 from .graph import connected
 from .session_stage import ALGORITHM
+from .tables import written
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,8 @@ def hot_paths(calls: DataFrame, sessions: DataFrame, rules: Rules = Rules()) ->
     return edited.join(total, "project_id").where((F.col("sessions") >= rules.hot_sessions) & (F.col("sessions") >= rules.hot_share * F.col("project_sessions")))
 
 
-def unit_links(turns: DataFrame, sessions: DataFrame, calls: DataFrame, given: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Pairs of turns (a, b) of one unit: an earlier editor of a path, the turn before in the session, a hand-off."""
+def path_links(turns: DataFrame, sessions: DataFrame, calls: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Pairs of turns (a, b): an earlier editor of a path and a later one."""
     edited = touches(calls).where("edits").join(hot_paths(calls, sessions, rules).select("project_id", "path"), ["project_id", "path"], "left_anti")
     spans = edited.groupBy("project_id", "path", "session_id", "turn_index").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     index = turns.select("session_id", "turn_index", "turn_id", F.col("started_at").alias("begin"), F.greatest("started_at", F.coalesce("last_event_at", "started_at")).alias("end"))
@@ -90,7 +91,12 @@ def unit_links(turns: DataFrame, sessions: DataFrame, calls: DataFrame, given: D
     spans = spans.withColumn("before", F.collect_list(mine).over(order.rowsBetween(-rules.fan_out, -1)))
     fits = F.filter("before", lambda e: ((e["session_id"] == F.col("session_id")) | (e["end"] < F.col("begin")) | (e["begin"] > F.col("end"))) & (_s(F.col("first_at")) - _s(e["last_at"]) <= rules.path_link_s))
     ranked = F.transform(fits, lambda e: F.struct((e["session_id"] == F.col("session_id")).alias("same"), e["last_at"].alias("last_at"), e["turn_id"].alias("turn_id")))
-    by_path = spans.withColumn("best", F.array_max(ranked)).where("best is not null").select(F.col("best.turn_id").alias("a"), F.col("turn_id").alias("b"))
+    return spans.withColumn("best", F.array_max(ranked)).where("best is not null").select(F.col("best.turn_id").alias("a"), F.col("turn_id").alias("b"))
+
+
+def unit_links(turns: DataFrame, sessions: DataFrame, calls: DataFrame, given: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Pairs of turns (a, b) of one unit: an earlier editor of a path, the turn before in the session, a hand-off."""
+    by_path = path_links(turns, sessions, calls, rules)
     session = Window.partitionBy("session_id").orderBy("turn_index")
     near = turns.withColumn("prev", F.lag("turn_id").over(session)).withColumn("prev_end", F.lag("ended_at").over(session))
     in_session = near.where((F.col("prev_end").isNotNull()) & (_s(F.col("started_at")) - _s(F.col("prev_end")) <= rules.turn_link_s)).select(F.col("prev").alias("a"), F.col("turn_id").alias("b"))
@@ -107,11 +113,26 @@ def _phase_of(calls: DataFrame, members: DataFrame, rules: Rules) -> DataFrame:
     return tail.withColumn("decides", decides).groupBy("root").agg(F.min_by("decides", F.when(F.col("decides").isNotNull(), F.col("rank"))).alias("phase"))
 
 
-def work_units(turns: DataFrame, attempts: DataFrame, calls: DataFrame, sessions: DataFrame, signals: DataFrame, commits: DataFrame, given: DataFrame, now: Column, rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    """Units of linked turns, and their members (session_id, turn_index, turn_id, root)."""
-    members = connected(turns.select(F.col("turn_id").alias("vertex")), unit_links(turns, sessions, calls, given, rules)).join(turns.select(F.col("turn_id").alias("vertex"), "session_id", "turn_index", "started_at"), "vertex")
-    first = members.groupBy("root").agg(F.min_by("vertex", F.struct("started_at", "turn_index", "vertex")).alias("first_turn"))
-    members = members.join(first, "root").select(F.concat(F.lit("wu_"), "first_turn").alias("root"), F.col("vertex").alias("turn_id"), "session_id", "turn_index")
+def unit_members(turns: DataFrame, sessions: DataFrame, calls: DataFrame, given: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """session_id, turn_index, turn_id and root (the unit's id) of every turn.
+
+    Turns that follow each other in a session are one chain by a window; components are sought among chains only.
+    """
+    session = Window.partitionBy("session_id").orderBy("turn_index")
+    gap = _s(F.col("started_at")) - _s(F.lag("ended_at").over(session))
+    chain = F.last(F.when(gap.isNull() | (gap > rules.turn_link_s), F.col("turn_id")), ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chained = written(turns.withColumn("chain", chain).select("turn_id", "session_id", "turn_index", "started_at", "chain"), "chains")
+    of = lambda name: chained.select(F.col("turn_id").alias(name), F.col("chain").alias(f"{name}_chain"))
+    links = path_links(turns, sessions, calls, rules).unionByName(given.where("from_turn is not null and to_turn is not null").select(F.col("from_turn").alias("a"), F.col("to_turn").alias("b")))
+    links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_chain").alias("a"), F.col("b_chain").alias("b"))
+    roots = connected(chained.select(F.col("chain").alias("vertex")).distinct(), links)
+    members = chained.join(roots, chained["chain"] == roots["vertex"])
+    first = F.min_by("turn_id", F.struct("started_at", "turn_index", "turn_id")).over(Window.partitionBy("root"))
+    return members.withColumn("first", first).select(F.concat(F.lit("wu_"), "first").alias("root"), "turn_id", "session_id", "turn_index")
+
+
+def work_units(members: DataFrame, turns: DataFrame, attempts: DataFrame, calls: DataFrame, signals: DataFrame, commits: DataFrame, now: Column, rules: Rules = Rules()) -> DataFrame:
+    """Units of linked turns. members: see ``unit_members``."""
     t = turns.join(members.select("turn_id", "root"), "turn_id")
     by_time = F.struct("started_at", "turn_index", "turn_id")
     units = t.groupBy("root").agg(F.first("project_id").alias("project_id"), F.first("project_name").alias("project_name"), F.min("started_at").alias("started_at"), F.max(F.greatest("started_at", F.coalesce("last_event_at", "started_at"))).alias("updated_at"), F.min_by("objective", F.when(F.col("prompt_event_id").isNotNull(), by_time)).alias("objective"), F.min_by("prompt_event_id", F.when(F.col("prompt_event_id").isNotNull(), by_time)).alias("objective_event_id"), ordered_distinct(F.col("session_id"), by_time).alias("sessions"), ordered_distinct(F.col("turn_id"), by_time).alias("turns"), ordered_distinct(F.col("provider"), by_time).alias("actors"), F.max_by("status", by_time).alias("last_turn_status"))
@@ -131,19 +152,52 @@ def work_units(turns: DataFrame, attempts: DataFrame, calls: DataFrame, sessions
         F.when(F.col("status").isin("completed", "abandoned"), F.col("updated_at")).alias("ended_at"), "sessions", F.size("sessions").cast("long").alias("session_count"), "turns", F.size("turns").cast("long").alias("turn_count"), F.coalesce("attempts", none).alias("attempts"), F.coalesce("attempt_count", F.lit(0)).alias("attempt_count"), F.coalesce("failed_attempt_count", F.lit(0)).alias("failed_attempt_count"),
         F.coalesce("paths", none).alias("paths"), F.coalesce("commit_shas", none).alias("commit_shas"), "actors", "last_attempt", "blocking_signal", F.slice("turns", 1, 3).alias("evidence"), F.coalesce(F.least("least_confidence", F.lit(0.7)), F.lit(0.4)).alias("confidence"), F.lit(ALGORITHM).alias("algorithm_version"),
     )
-    return units, members
+    return units
+
+
+# fixed values: the most paths that a rationale lists, the most confidence of a derived decision
+RATIONALE_PATHS, DECISION_CONFIDENCE = 3, 0.7
+
+
+def _listed(paths: Column) -> Column:
+    more = F.when(F.size(paths) > RATIONALE_PATHS, F.concat(F.lit(" +"), F.size(paths) - RATIONALE_PATHS, F.lit(" more"))).otherwise("")
+    return F.when(F.size(paths) == 0, "no shared path").otherwise(F.concat(F.array_join(F.slice(paths, 1, RATIONALE_PATHS), ", "), more))
 
 
 def decisions(events: DataFrame, attempts: DataFrame, calls: DataFrame, members: DataFrame) -> DataFrame:
-    """Approach changes (a superseded attempt and its successor) and human interventions (a denial and the next different tool)."""
-    old, new = attempts.where("superseded_by is not null"), attempts.select(F.col("attempt_id").alias("superseded_by"), F.col("approach").alias("selected"), F.col("started_at").alias("decided_at"), F.col("turn_id").alias("new_turn"))
+    """Approach changes (a superseded attempt and its successor), and human interventions: a denial whose next call is of another tool.
+
+    A call that follows several denials is one decision, of the first of them; a denial that nothing or the same tool follows is none.
+    """
+    names = ["attempt_id", "session_id", "provider", "project_id", "project_name", "turn_id", "approach", "paths", "started_at", "confidence", "first_call_event", "evidence"]
+    new = attempts.select(*[F.col(c).alias(f"new_{c}") for c in names])
+    pairs = attempts.where("superseded_by is not null").join(new, F.col("superseded_by") == F.col("new_attempt_id"))
+    retry = F.when(F.col("approach") == F.col("new_approach"), F.concat(F.lit("the same kind of change ("), "new_approach", F.lit(")"))).otherwise(F.concat(F.lit("a different edit ("), "new_approach", F.lit(")")))
+    shared = F.filter("paths", lambda x: F.array_contains("new_paths", x))
+    why = F.concat(F.lit("abandoned approach after "), F.coalesce("failure_class", F.lit("a failure")), F.lit(" on "), _listed(shared), F.lit("; retried with "), retry)
+    evidence = F.array_distinct(F.array_compact(F.array(F.coalesce("fail_event_id", F.try_element_at("evidence", F.lit(-1))), F.coalesce("new_first_call_event", F.try_element_at("new_evidence", F.lit(1))))))
+    change = pairs.select(F.lit("approach_change").alias("kind"), F.concat(F.lit("dec_approach_change/"), "attempt_id").alias("decision_id"), *[F.col(f"new_{c}").alias(c) for c in ("session_id", "provider", "project_id", "project_name", "turn_id")], F.col("new_attempt_id").alias("selected"), F.array("attempt_id").alias("alternatives"), why.alias("rationale"), F.col("new_started_at").alias("decided_at"), evidence.alias("evidence"), F.least("confidence", "new_confidence", F.lit(DECISION_CONFIDENCE)).alias("confidence")).where(F.size("evidence") > 0)
+
+    # the next call at or after a denial, and the one after it, in one order of calls and denials; the denied call itself is passed over
+    call = calls.where("at is not null").select("session_id", F.col("at").alias("t"), F.lit(1).alias("side"), F.col("tool_call_id").alias("id"), F.struct("tool_call_id", "tool_name", F.coalesce("tool_category", F.lit("other")).alias("tool_category"), F.coalesce("start_event_id", "end_event_id").alias("event"), "end_event_id", "at").alias("c"))
+    denied = events.where("kind = 'permission_denied'").select("session_id", F.col("observed_at").alias("t"), F.lit(0).alias("side"), F.col("event_id").alias("id"), F.lit(None).cast(call.schema["c"].dataType).alias("c"), F.struct(F.col("event_id").alias("event"), "tool_name", "seq").alias("d"))
+    both = call.withColumn("d", F.lit(None).cast(denied.schema["d"].dataType)).unionByName(denied)
+    backwards = Window.partitionBy("session_id").orderBy(F.desc("t"), F.desc("side"), F.desc("id"))
+    so_far = backwards.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("next", F.last("c", ignorenulls=True).over(so_far)).withColumn("second", F.last(F.when(F.col("c").isNotNull(), F.col("next")), ignorenulls=True).over(so_far))
+    own = F.col("next.end_event_id") == F.col("d.event")
+    human = both.where("d is not null").withColumn("retry", F.when(F.coalesce(own, F.lit(False)), F.col("second")).otherwise(F.col("next"))).where("retry is not null and retry.event is not null and not (retry.tool_name <=> d.tool_name)")
+    earliest = F.row_number().over(Window.partitionBy("session_id", "retry.event").orderBy("d.seq"))
+    human = human.withColumn("n", earliest).where("n = 1").select("d", "retry")
+    of_call = attempts.select(F.explode("tool_call_ids").alias("call"), "attempt_id", "session_id", "provider", "project_id", "project_name", "turn_id", "confidence")
+    of_denial = calls.where("end_event_id is not null").select("end_event_id", F.col("tool_call_id").alias("denied_call"))
+    denied_attempt = of_call.select(F.col("call").alias("denied_call"), F.col("attempt_id").alias("denied_attempt"), F.col("confidence").alias("denied_confidence"))
+    human = human.join(of_call, F.col("retry.tool_call_id") == F.col("call")).join(of_denial, F.col("d.event") == F.col("end_event_id"), "left").join(denied_attempt, "denied_call", "left")
+    other = F.when(F.col("denied_attempt") != F.col("attempt_id"), F.col("denied_attempt"))
+    why = F.concat(F.lit("permission denied for "), F.coalesce("d.tool_name", F.lit("a tool")), F.lit("; continued with "), F.coalesce("retry.tool_name", F.lit("")), F.lit(" ("), "retry.tool_category", F.lit(")"))
+    human = human.select(F.lit("human_intervention").alias("kind"), F.concat(F.lit("dec_human_intervention/"), "d.event").alias("decision_id"), "session_id", "provider", "project_id", "project_name", "turn_id", F.col("attempt_id").alias("selected"), F.array_compact(F.array(other)).alias("alternatives"), why.alias("rationale"), F.col("retry.at").alias("decided_at"), F.array("d.event", "retry.event").alias("evidence"), F.least("confidence", F.when(other.isNotNull(), F.col("denied_confidence")), F.lit(DECISION_CONFIDENCE)).alias("confidence"))
     unit = members.select("turn_id", F.col("root").alias("work_unit_id"))
-    change = old.join(new, "superseded_by").select(F.lit("approach_change").alias("kind"), "session_id", "provider", "project_id", "project_name", F.col("new_turn").alias("turn_id"), "selected", F.array("approach").alias("alternatives"), F.concat(F.lit("failed: "), F.coalesce("failure_class", F.lit("unknown"))).alias("rationale"), F.lit("failure_class").alias("rationale_source"), "decided_at", F.array("attempt_id", "superseded_by").alias("evidence"), F.least("confidence", F.lit(0.6)).alias("confidence"))
-    denied = events.where("kind = 'permission_denied' and turn_index is not null").select("session_id", "provider", "project_id", "project_name", "turn_index", F.col("event_id").alias("denial"), F.col("seq").alias("denied_seq"), F.col("tool_name").alias("denied_tool"), F.col("observed_at").alias("decided_at"))
-    after = calls.select("session_id", F.col("seq").alias("c_seq"), F.col("tool_name").alias("c_tool"))
-    human = denied.join(after, "session_id", "left").where("c_seq is null or (c_seq >= denied_seq and c_tool <> denied_tool)").groupBy("session_id", "provider", "project_id", "project_name", "turn_index", "denial", "denied_tool", "decided_at").agg(F.min_by("c_tool", "c_seq").alias("selected"))
-    human = human.select(F.lit("human_intervention").alias("kind"), "session_id", "provider", "project_id", "project_name", F.concat(F.lit("trn_"), "session_id", F.lit("/"), "turn_index").alias("turn_id"), F.coalesce("selected", F.lit("none")).alias("selected"), F.array("denied_tool").alias("alternatives"), F.lit("permission denied").alias("rationale"), F.lit("permission_denied").alias("rationale_source"), "decided_at", F.array("denial").alias("evidence"), F.lit(0.7).alias("confidence"))
-    return change.unionByName(human).join(unit, "turn_id", "left").withColumn("decision_id", F.concat(F.lit("dec_"), "kind", F.lit("/"), F.element_at("evidence", 1))).withColumn("algorithm_version", F.lit(ALGORITHM))
+    return change.unionByName(human).join(unit, "turn_id", "left").withColumn("rationale_source", F.lit("derived")).withColumn("algorithm_version", F.lit(ALGORITHM))
 
 
 def conflicts(units: DataFrame, members: DataFrame, calls: DataFrame, commits: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -161,8 +215,8 @@ def conflicts(units: DataFrame, members: DataFrame, calls: DataFrame, commits: D
     return rows.withColumns({"conflict_id": F.concat(F.lit("cfl_"), "first_work_unit", F.lit("|"), "second_work_unit"), "path_count": F.size("paths").cast("long"), "confidence": F.when(F.col("overlapping"), 0.7).otherwise(0.6), "algorithm_version": F.lit(ALGORITHM)})
 
 
-def edges(events: DataFrame, turns: DataFrame, calls: DataFrame, attempts: DataFrame, links: DataFrame, given: DataFrame, members: DataFrame, signals: DataFrame) -> DataFrame:
-    """The causal graph: typed edges with evidence; ``ordinal`` numbers them in a fixed order."""
+def edges(turns: DataFrame, calls: DataFrame, attempts: DataFrame, links: DataFrame, given: DataFrame, members: DataFrame, signals: DataFrame) -> DataFrame:
+    """The causal graph: typed edges with evidence; ``ordinal`` is a hash of the edge, which needs no order over all rows."""
     none = F.array().cast("array<string>")
 
     def edge(df: DataFrame, kind: str, a: str, from_id, b: str, to_id, confidence, evidence=none, source: str = "projection") -> DataFrame:

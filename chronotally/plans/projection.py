@@ -22,6 +22,7 @@ from ..operators.tables import written
 class Projection:
     def __init__(self, events: DataFrame, as_of: datetime | None = None, rules: Rules = Rules(), until: datetime | None = None):
         """as_of: the time of judgement, the last event's by default; until: leaves later events out."""
+        self._tables: dict[str, DataFrame] = {}
         delivered = conform(events)
         self.delivered = delivered if until is None else delivered.where(F.col("observed_at") <= F.lit(until))
         self._as_of, self.rules = as_of or until, rules
@@ -33,8 +34,8 @@ class Projection:
 
     @cached_property
     def stats(self):
-        """One pass over three columns: the clock in use, whether there are events about events, the last time."""
-        return self.delivered.agg(F.min("hlc").alias("hlc"), F.count_if(F.col("kind").isin(*META)).alias("meta"), F.max("observed_at").alias("last")).first()
+        """One pass over four columns: the clock in use, whether there are events about events and starts of calls, the last time."""
+        return self.delivered.agg(F.min("hlc").alias("hlc"), F.count_if(F.col("kind").isin(*META)).alias("meta"), F.count_if(F.col("kind") == "tool_call_started").alias("starts"), F.max("observed_at").alias("last")).first()
 
     @cached_property
     def all_events(self) -> DataFrame:
@@ -55,13 +56,25 @@ class Projection:
     def retracted_ids(self) -> DataFrame:
         return written(meta.retracted_events(self.all_events), "retracted")
 
-    @cached_property
-    def facts(self) -> DataFrame:
+    def _staged(self, name: str, make) -> DataFrame:
+        """A table that several others read, written once; ``make`` gives its plan."""
+        if name not in self._tables:
+            self._tables[name] = written(make(), name)
+        return self._tables[name]
+
+    def _facts_plan(self) -> DataFrame:
+        if "facts" in self._tables:
+            return self._tables["facts"]
         live = self.all_events
         if self.stats.meta:
             live = live.where(~F.col("kind").isin(*META)).join(self.retracted_ids.select("event_id"), "event_id", "left_anti")
         order = ["observed_at", "hlc", "source_seq", "event_id"] if self.stats.hlc else ["observed_at", "captured_at", "event_id"]
-        return written(session_stage.with_turns(sequenced(live, order)), "facts")
+        return session_stage.with_turns(sequenced(live, order))
+
+    @property
+    def facts(self) -> DataFrame:
+        """Live events in order with their turns, dealt by session once; staged, as several tables read them."""
+        return self._staged("facts", self._facts_plan)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -69,31 +82,65 @@ class Projection:
             return self.all_events.withColumn("retracted", F.lit(False))
         return self.all_events.join(self.retracted_ids.select("event_id", F.lit(True).alias("retracted")), "event_id", "left").withColumn("retracted", F.coalesce("retracted", F.lit(False)))
 
-    @cached_property
+    # A table read alone is a plan on its inputs; tables that the next stages read more than once are staged by them.
+
+    @property
     def sessions(self) -> DataFrame:
-        return written(session_stage.sessions(self.facts, self.now), "sessions")
+        return self._tables.get("sessions") or session_stage.sessions(self._facts_plan(), self.now)
 
-    @cached_property
-    def turns(self) -> DataFrame:
-        rows = session_stage.turns(self.facts, self.sessions)
+    def _turns_plan(self) -> DataFrame:
+        rows = session_stage.turns(self.facts, self._staged("sessions", lambda: session_stage.sessions(self.facts, self.now)))
         if self.stats.meta:
-            return written(meta.correct_turns(rows, self.meta_events), "turns")
+            return meta.correct_turns(rows, self.meta_events)
         none = {c: F.lit(None).cast("string") for c in ("corrected_by", "inferred_objective")}
-        return written(rows.withColumns(none | {"corrected_at": F.lit(None).cast("timestamp")}), "turns")
+        return rows.withColumns(none | {"corrected_at": F.lit(None).cast("timestamp")})
 
-    @cached_property
+    @property
+    def turns(self) -> DataFrame:
+        return self._tables.get("turns") or self._turns_plan()
+
+    def _calls_plan(self) -> DataFrame:
+        rows = session_stage.tool_calls(self._facts_plan(), bool(self.stats.starts)).withColumn("turn_id", F.when(F.col("turn_index").isNotNull(), session_stage.turn_id()))
+        return meta.without_calls(rows, self._retracted_attempts) if self.stats.meta else rows
+
+    @property
     def tool_calls(self) -> DataFrame:
-        return written(session_stage.tool_calls(self.facts).withColumn("turn_id", F.when(F.col("turn_index").isNotNull(), session_stage.turn_id())), "calls")
+        return self._tables.get("calls") or self._calls_plan()
 
     @cached_property
-    def _first_attempts(self) -> DataFrame:
+    def _base(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Sessions, turns and calls, staged for the stages that read them more than once."""
         _ = self.facts, self.now
-        self._together("turns", "tool_calls")
-        return written(session_stage.attempts(self.tool_calls, self.turns, self.sessions), "attempts")
+        with ThreadPoolExecutor(2) as pool:
+            calls = pool.submit(lambda: self._staged("calls", self._calls_plan))
+            sessions = self._staged("sessions", lambda: session_stage.sessions(self.facts, self.now))
+            turns = self._staged("turns", self._turns_plan)
+            return sessions, turns, calls.result()
+
+    @cached_property
+    def _raw_calls(self) -> DataFrame:
+        """Calls of retracted attempts included."""
+        return session_stage.tool_calls(self._facts_plan(), bool(self.stats.starts))
+
+    @cached_property
+    def _first_attempts(self) -> DataFrame:
+        _ = self.facts
+        sessions = session_stage.sessions(self.facts, self.now) if "sessions" not in self._tables else self._tables["sessions"]
+        calls = self._raw_calls if self.stats.meta else self.tool_calls
+        turns = self._tables.get("turns")
+        if turns is None:
+            turns = session_stage.turns(self.facts, sessions)
+            turns = meta.correct_turns(turns, self.meta_events) if self.stats.meta else turns
+        return self._staged("first_attempts", lambda: session_stage.attempts(calls, turns, sessions))
 
     @cached_property
+    def _retracted_attempts(self) -> DataFrame:
+        """Attempts that a retraction names, with what they hold."""
+        return meta.named_attempts(self._first_attempts, self.meta_events)
+
+    @property
     def supersessions(self) -> DataFrame:
-        return written(session_stage.supersession(self._first_attempts), "links")
+        return self._tables.get("links") or session_stage.supersession(self._first_attempts)
 
     @cached_property
     def attempts(self) -> DataFrame:
@@ -101,27 +148,29 @@ class Projection:
         if not self.stats.meta:
             none = {c: F.lit(None).cast("string") for c in ("note", "inferred_outcome", "inferred_failure_class", "correction_type", "corrected_by")}
             return rows.withColumns(none | {"corrected_at": F.lit(None).cast("timestamp")})
-        return written(meta.correct_attempts(meta.retract_attempts(rows, self.meta_events), self.meta_events), "attempts")
+        return self._staged("attempts", lambda: meta.correct_attempts(meta.retract_attempts(rows, self.meta_events), self.meta_events))
 
     @cached_property
     def signals(self) -> DataFrame:
-        return written(session_stage.signals(self.facts), "signals")
+        return self._staged("signals", lambda: session_stage.signals(self._facts_plan()))
 
     @cached_property
     def commits(self) -> DataFrame:
-        return written(session_stage.commits(self.facts, self.tool_calls), "commits")
+        return session_stage.commits(self.facts, self._base[2])
 
     @cached_property
     def handoffs(self) -> DataFrame:
-        return written(project_stage.handoffs(self.turns, self.sessions, self.tool_calls, self.rules), "handoffs")
+        sessions, turns, calls = self._base
+        rows = project_stage.handoffs(turns, sessions, calls, self.rules)
+        return self._staged("handoffs", lambda: meta.without_handoffs(rows, self._retracted_attempts) if self.stats.meta else rows)
 
     @cached_property
     def _units(self) -> tuple[DataFrame, DataFrame]:
-        _ = self.supersessions
-        self._together("attempts", "handoffs", "signals", "commits")
-        units, members = project_stage.work_units(self.turns, self.attempts, self.tool_calls, self.sessions, self.signals, self.commits, self.handoffs, self.now, self.rules)
-        members = written(members, "members")
-        return written(units, "units"), members
+        sessions, turns, calls = self._base
+        _ = self._first_attempts
+        self._together("handoffs", "signals")
+        members = self._staged("members", lambda: project_stage.unit_members(turns, sessions, calls, self.handoffs, self.rules))
+        return project_stage.work_units(members, turns, self.attempts, calls, self.signals, self.commits, self.now, self.rules), members
 
     @property
     def work_units(self) -> DataFrame:
@@ -133,19 +182,21 @@ class Projection:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return written(project_stage.decisions(self.facts, self.attempts, self.tool_calls, self.members), "decisions")
+        return project_stage.decisions(self.facts, self._staged("all_attempts", lambda: self.attempts), self._base[2], self.members)
 
     @cached_property
     def conflicts(self) -> DataFrame:
-        return written(project_stage.conflicts(self.work_units, self.members, self.tool_calls, self.commits, self.rules), "conflicts")
+        return project_stage.conflicts(self.work_units, self.members, self._base[2], self.commits, self.rules)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return written(project_stage.edges(self.facts, self.turns, self.tool_calls, self.attempts, self.supersessions, self.handoffs, self.members, self.signals), "edges")
+        _, turns, calls = self._base
+        members = self.members
+        return project_stage.edges(turns, calls, self.attempts, self._staged("links", lambda: self.supersessions), self.handoffs, members, self.signals)
 
     @cached_property
     def attention(self) -> DataFrame:
-        return project_stage.attention(self.sessions, self.signals, self.work_units, self.attempts, self.members, self.conflicts)
+        return project_stage.attention(self._base[0], self.signals, self.work_units, self.attempts, self.members, self.conflicts)
 
     @cached_property
     def corrections(self) -> DataFrame:

@@ -19,12 +19,12 @@ def uuid5(namespace: uuid.UUID, *parts: Column | str) -> Column:
 
 def resolve(df: DataFrame, column: str, short: str, least: int = 4) -> str:
     """The one id of ``column`` that is ``short`` or begins with it (after its prefix)."""
-    if len(short.split("_", 1)[-1]) < least:
-        raise ValueError(f"{short!r} is too short: {least} characters at least")
     own = F.col(column)
-    found = [r[0] for r in df.where((own == short) | own.startswith(short) | F.substring_index(own, "_", -1).startswith(short)).select(own).distinct().orderBy(own).limit(6).collect()]
-    if short in found:
+    if not df.where(own == short).isEmpty():
         return short
+    if len(short.split("_", 1)[-1]) < least:
+        raise ValueError(f"{short!r} is unknown, and too short to begin an id: {least} characters at least")
+    found = [r[0] for r in df.where(own.startswith(short) | F.substring_index(own, "_", -1).startswith(short)).select(own).distinct().orderBy(own).limit(6).collect()]
     if len(found) != 1:
         raise LookupError(f"no id begins with {short!r}" if not found else f"{short!r} is ambiguous: {', '.join(found[:5])}")
     return found[0]

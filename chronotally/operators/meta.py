@@ -37,6 +37,11 @@ def retract_attempts(attempts: DataFrame, meta_events: DataFrame) -> DataFrame:
     return kept.withColumn("supersedes", F.when(F.col("gone_id").isNull(), F.col("supersedes"))).drop("gone_id")
 
 
+def retracted_sessions(meta_events: DataFrame) -> DataFrame:
+    """session_id of the sessions that a retraction names."""
+    return _said(meta_events, "retraction").where("target_type = 'session'").select(F.col("target").alias("session_id")).distinct()
+
+
 def named_attempts(attempts: DataFrame, meta_events: DataFrame) -> DataFrame:
     """The attempts that a retraction names: their calls and the events that those rest on."""
     gone = _said(meta_events, "retraction").where("target_type = 'attempt'").select(F.col("target").alias("attempt_id")).distinct()

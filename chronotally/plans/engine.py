@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions import ids
 from ..functions.times import parse_time
 from ..operators import graph, temporal
 from ..operators.meta import masked
+from .guard import GuardError, ReadOnly, check_size
 from .projection import Projection
 from .statements import Statement, StatementError, is_statement, parse
 
 # fixed values
-MAX_BYTES, MAX_TOKENS, MAX_OPERATORS, MAX_SELECTS = 512 * 1024, 100_000, 400, 100
 ALIASES = {"claude": "claude_code", "claude-code": "claude_code", "codex-cli": "codex", "gemini": "gemini_cli", "gemini-cli": "gemini_cli"}
 TIME_COLUMN = {"attempts": "started_at", "sessions": "started_at", "turns": "started_at", "tool_calls": "at", "handoffs": "handoff_at", "work_units": "started_at", "decisions": "decided_at", "commits": "committed_at", "signals": "raised_at", "corrections": "corrected_at", "retractions": "retracted_at", "events": "observed_at", "conflicts": "started_at"}
 OUTCOME = {"attempts": "outcome", "sessions": "state", "turns": "status", "tool_calls": "outcome_status", "work_units": "status", "corrections": "outcome"}
 STATUS = OUTCOME | {"corrections": "status"}
-DEFAULT_ORDER = {table: (column, False) for table, column in TIME_COLUMN.items()} | {"edges": ("ordinal", True)}
+DEFAULT_ORDER = {table: (column, False) for table, column in TIME_COLUMN.items()} | {"edges": ("edge_kind", True)}
+#: Kinds of subjects: the prefix of their ids, their table and its key, in the order in which a bare id is looked up.
+SUBJECTS = {"attempt": ("att_", "attempts", "attempt_id"), "session": ("ses_", "sessions", "session_id"), "turn": ("trn_", "turns", "turn_id"), "tool_call": ("spn_", "tool_calls", "tool_call_id"), "work_unit": ("wu_", "work_units", "work_unit_id"), "event": ("ev_", "events", "event_id")}
+RECENT_S = 15 * 60
 PHASES = ("explore", "plan", "implement", "debug", "verify", "review", "deliver", "blocked")
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|grant|revoke|refresh|cache|uncache|set|reset|use|load|msck|analyze|copy|attach|install|add|call)\b", re.I)
-
-
-class GuardError(StatementError):
-    pass
-
-
 @dataclass
 class Result:
     df: DataFrame
@@ -37,38 +36,6 @@ class Result:
     truncated: bool = False
 
 
-def bare(text: str) -> str:
-    """SQL without comments and with empty literals."""
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`", "''", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S))
-
-
-def check_size(text: str) -> None:
-    if len(text.encode()) > MAX_BYTES:
-        raise GuardError("the statement is too large")
-    plain = bare(text)
-    if len(re.findall(r"\w+|[^\w\s]", plain)) > MAX_TOKENS:
-        raise GuardError("the statement has too many tokens")
-    if len(re.findall(r"\b(?:and|or|union|intersect|except|join|not)\b|\|\||[-+*/%]", plain, re.I)) > MAX_OPERATORS:
-        raise GuardError("the statement has too many operators")
-    if len(re.findall(r"\b(?:select|values)\b", plain, re.I)) > MAX_SELECTS:
-        raise GuardError("the statement has too many selects")
-
-
-def check_read_only(spark: SparkSession, text: str) -> None:
-    """One statement that only reads: by its words first, then by the parser's plan."""
-    plain = bare(text).strip().rstrip(";")
-    if ";" in plain:
-        raise GuardError("one statement at a time")
-    if not re.match(r"\(*\s*(select|with|values|explain|describe|desc|show|from|table)\b", plain, re.I):
-        raise GuardError("only statements that read are allowed")
-    if _WRITES.match(re.sub(r"\A(explain(\s+\w+)?|with)\s+", "", plain, flags=re.I)):
-        raise GuardError("only statements that read are allowed")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text.strip().rstrip(";"))
-    names = plan.treeString()
-    if re.search(r"'?(InsertInto|CreateTable|CreateView|DropTable|DeleteFromTable|UpdateTable|MergeInto|SetCommand|CacheTable|AddJar|Truncate)", names):
-        raise GuardError("only statements that read are allowed")
-
-
 def glob(pattern: str) -> str:
     """A path pattern as a regular expression: * and % stand for any run of characters, anchored."""
     return "^" + "".join(".*" if c in "*%" else re.escape(c) for c in pattern) + "$"
@@ -91,7 +58,7 @@ class Engine:
         return self.spark.createDataFrame([(table, k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema.fields)], "table_name string, ordinal int, column_name string, data_type string")
 
     def table(self, name: str, show_retracted: bool = True) -> DataFrame:
-        df = self.projection.table(name)
+        df = self.projection.flagged(name)
         if "retracted" in df.columns:
             df = masked(df, name, F.col("retracted"))
             if not show_retracted:
@@ -107,44 +74,142 @@ class Engine:
         check_size(text)
         if is_statement(text):
             return self.run(parse(text))
-        check_read_only(self.spark, text)
-        for name in Projection.TABLES:
-            if re.search(rf"\b{name}\b", text):
-                self.table(name).createOrReplaceTempView(name)
+        about = re.fullmatch(r"\s*(?:show\s+columns\s+(?:from|in)|describe(?:\s+table)?|desc)\s+`?(\w+)`?\s*;?\s*", text, re.I)
+        if about or re.fullmatch(r"\s*show\s+tables\s*;?\s*", text, re.I):
+            if about and about[1].lower() not in Projection.TABLES:
+                raise StatementError(f"unknown table {about[1]}")
+            return Result(self.columns(about[1].lower()) if about else self.tables())
+        plan = re.match(r"\s*explain(?:\s+extended)?\s+", text, re.I)
+        if plan:
+            return self._explained(self.query(text[plan.end() :]), text[plan.end() :])
+        for name in ReadOnly(self.spark, Projection.TABLES).statement(text):
+            self.table(name).createOrReplaceTempView(name)
         return self._bounded(self.spark.sql(text.strip().rstrip(";")))
 
     def _bounded(self, df: DataFrame) -> Result:
         return Result(df.limit(self.max_rows + 1))
 
+    def fetch(self, text: str, timeout_s: float = 20.0, max_bytes: int = 256 * 1024) -> tuple[list, Result]:
+        """The rows of a statement within its row, byte and time budget; ``truncated`` and a note say what was cut. A late statement is cancelled."""
+        result = self.query(text)
+        context, tag, late = self.spark.sparkContext, f"fetch-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(timeout_s, stop)
+        context.addJobTag(tag)
+        timer.start()
+        rows, size = [], 0
+        try:
+            for row in result.df.toLocalIterator():
+                size += len(str(row))
+                if len(rows) == self.max_rows or size > max_bytes:
+                    result.truncated = True
+                    result.notes.append(f"cut at {len(rows)} rows, {self.max_rows} or {max_bytes} bytes are the most")
+                    break
+                rows.append(row)
+        except Exception as error:
+            if late.is_set():
+                raise GuardError(f"the statement took longer than {timeout_s:g} s") from error
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+        return rows, result
+
+    def _explained(self, inner: Result, text: str) -> Result:
+        plan = inner.df._jdf.queryExecution().toString()
+        return Result(self.spark.createDataFrame([("logical and physical", plan)], "plan_type string, plan string"), "explanation", [f"explained: {text}"])
+
+    def resolve(self, kind: str, name: str) -> str:
+        """The full id of a subject, given whole or by its first characters, with or without its prefix."""
+        prefix, table, key = SUBJECTS[kind]
+        rows = self.projection.table(table)
+        for text in dict.fromkeys((name, name.removeprefix(prefix))):
+            try:
+                return ids.resolve(rows, key, text)
+            except LookupError as error:
+                if "ambiguous" in str(error):
+                    raise StatementError(str(error)) from error
+            except ValueError as error:
+                raise StatementError(str(error)) from error
+        raise StatementError(f"unknown {kind.replace('_', ' ')} {name!r}")
+
+    def endpoint(self, name: str) -> str:
+        """The node of the causal graph that an id names: by its prefix, or the first kind that knows it."""
+        for kind, (prefix, _, _) in SUBJECTS.items():
+            if name.startswith(prefix):
+                return self.resolve(kind, name)
+        for kind in SUBJECTS:
+            try:
+                return self.resolve(kind, name)
+            except StatementError as error:
+                if "ambiguous" in str(error):
+                    raise
+        raise StatementError(f"{name!r} is no attempt, session, turn, tool call, work unit or event")
+
+    def projects(self, name: str) -> list[str]:
+        names = self.projection.sessions.select("project_id", "project_name").distinct()
+        found = [r[0] for r in names.where((F.col("project_id") == name) | (F.lower("project_name") == name.lower())).limit(100).collect()]
+        if not found:
+            known = [r[0] for r in names.select("project_name").where("project_name is not null").distinct().orderBy("project_name").limit(10).collect()]
+            raise StatementError(f"unknown project {name!r}; known ones: {', '.join(known)}")
+        return found
+
+    def _scope(self, s: Statement) -> dict:
+        """What a subject keeps: sessions of projects, one session, or one work unit."""
+        kind, name = s.subject if s.subject else (None, None)
+        if kind is None:
+            return {}
+        if kind == "project":
+            return {"projects": self.projects(name)}
+        if kind in ("session", "work_unit"):
+            return {kind: self.resolve(kind, name)}
+        raise StatementError(f"{s.verb.replace('_', ' ').upper()} needs a project, session or work unit, not {kind.replace('_', ' ')}")
+
     def run(self, s: Statement) -> Result:
         p = self.projection
         if s.verb == "explain":
-            inner = self.query(s.inner)
-            plan = inner.df._jdf.queryExecution().toString()
-            return Result(self.spark.createDataFrame([("logical and physical", plan)], "plan_type string, plan string"), "explanation", [f"explained: {s.inner}"])
+            return self._explained(self.query(s.inner), s.inner)
         if s.verb == "show":
             return self._show(s)
-        kind, name = s.subject if s.subject else (None, None)
-        scope = {"project": name if kind == "project" else None, "session": name if kind == "session" else None}
+        if s.verb == "trace":
+            found, truncated = graph.trace(p.edges, self.endpoint(s.subject[1]), s.depth, s.direction)
+            return Result(found.orderBy("depth", "edge_kind", "from_id", "to_id"), "explanation", ["more lies beyond the depth"] if truncated else [], truncated)
+        if s.verb == "why" and s.kind == "failed":
+            if s.subject[0] != "attempt":
+                raise StatementError(f"WHY … FAILED needs an attempt, not {s.subject[0].replace('_', ' ')}")
+            return Result(temporal.why_failed(p, self.resolve("attempt", s.subject[1])), "explanation")
+        scope = self._scope(s)
+        if s.verb == "why":
+            if "work_unit" in scope:
+                return self._why_unit(scope["work_unit"])
+            return Result(temporal.why_blocked(p, self.now, **scope), "explanation", ["blocked: a request that nobody answered, or the last two attempts failed alike"])
+        newest = [F.desc("last_activity_at"), F.col("subject_id")]
         if s.verb == "state":
-            return Result(temporal.state_at(p, parse_time(s.times[0], self.now), **scope).orderBy(F.desc("last_activity_at"), "session_id"))
+            return Result(temporal.snapshot(p, parse_time(s.times[0], self.now), **scope).orderBy(*newest))
         if s.verb == "diff":
             a, b = (parse_time(t, self.now) for t in s.times)
             if a >= b:
                 raise StatementError("the first time must be before the second")
-            return Result(temporal.diff(temporal.state_at(p, a, **scope), temporal.state_at(p, b, **scope)).orderBy("subject", "field"))
-        if s.verb == "what_is":
-            rows = temporal.state_at(p, self.now, **scope)
-            return Result(rows.orderBy(F.desc("last_activity_at"), "session_id"), notes=["sessions active in the last 15 minutes come first"])
-        if s.verb == "why":
-            df = temporal.why_failed(p, name) if s.kind == "failed" else temporal.why_blocked(p, self.now, **scope)
-            return Result(df, "explanation")
-        found, truncated = graph.trace(p.edges, name, s.depth, s.direction)
-        return Result(found.orderBy("depth", "ordinal"), "explanation", ["more lies beyond the depth"] if truncated else [], truncated)
+            return Result(temporal.diff_snapshots(temporal.snapshot(p, a, **scope), temporal.snapshot(p, b, **scope)).orderBy("subject", "field"))
+        rows = temporal.snapshot(p, self.now, **scope)
+        since = F.lit(self.now).cast("timestamp") - F.expr(f"interval {RECENT_S} seconds")
+        active = [r[0] for r in rows.where((F.col("subject_type") == "session") & F.col("is_open") & (F.col("last_activity_at") >= since)).select("subject_id").orderBy("subject_id").limit(20).collect()]
+        return Result(rows.orderBy(*newest), notes=[f"active in the last {RECENT_S // 60} minutes: {', '.join(active) if active else 'none'}"])
+
+    def _why_unit(self, unit: str) -> Result:
+        rows = temporal.why_unit_blocked(self.projection, unit)
+        if not rows.isEmpty():
+            return Result(rows, "explanation")
+        own = self.projection.work_units.where(F.col("work_unit_id") == unit).select("phase", "status", "phase_reason", "status_reason").first()
+        return Result(rows, "explanation", [f"work unit {unit} is not blocked: phase {own.phase}, status {own.status}", f"phase: {own.phase_reason}; status: {own.status_reason}"])
 
     def _show(self, s: Statement) -> Result:
         if s.target == "evidence":
-            return Result(temporal.evidence(self.projection, s.subject[1]))
+            return self._evidence(s.subject[1])
         df, notes = self.table(s.target), []
         if s.kind == "failed":
             df = df.where(F.col("outcome").isin("failed", "superseded"))
@@ -158,8 +223,10 @@ class Engine:
         if s.where:
             df = df.where(self._expression(s.where))
         if "retracted" in df.columns and not s.retracted:
+            if self.projection.stats.meta:
+                hidden = df.where("retracted").count()
+                notes += [f"{hidden} retracted rows are hidden"] if hidden else []
             df = df.where("not retracted")
-            notes.append("retracted rows are hidden")
         column, up = s.order or DEFAULT_ORDER[s.target]
         if column not in df.columns:
             raise StatementError(f"{s.target} has no column {column}")
@@ -167,11 +234,21 @@ class Engine:
         own = F.col(column)
         return Result(df.orderBy(own.asc_nulls_last() if up else own.desc_nulls_last(), tie).limit(s.limit), notes=[*notes, f"first {s.limit} rows"])
 
+    def _evidence(self, name: str) -> Result:
+        subject = name
+        for table, key in (("handoffs", "to_turn"), ("decisions", "decision_id"), ("conflicts", "conflict_id"), ("commits", "commit_id"), ("signals", "event_id")):
+            if not self.projection.table(table).where(F.col(key) == name).isEmpty():
+                break
+        else:
+            subject = self.endpoint(name)
+        cited = temporal.cited(self.projection, subject)
+        found = temporal.evidence(self.projection, cited)
+        missing = [r[0] for r in cited.join(self.projection.events.select("event_id"), "event_id", "left_anti").orderBy("event_id").limit(10).collect()]
+        return Result(found, notes=[f"events that are not loaded: {', '.join(missing)}"] if missing else [])
+
     def _expression(self, text: str) -> Column:
         """Exactly one expression; text that closes a bracket or adds a clause doesn't parse."""
-        if re.search(r"\b(select|exists|with|values|from)\b", bare(text), re.I):
-            raise StatementError("a subquery is not allowed here")
-        self.spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+        ReadOnly(self.spark, Projection.TABLES).expression(text)
         return F.expr(text)
 
     def _filter(self, table: str, key: str, value: str, columns: list[str]) -> Column:
@@ -181,11 +258,7 @@ class Engine:
             return F.col(name)
 
         if key == "project":
-            names = self.projection.sessions.select("project_id", "project_name").distinct()
-            ids = [r[0] for r in names.where((F.col("project_id") == value) | (F.lower("project_name") == value.lower())).limit(100).collect()]
-            if not ids:
-                raise StatementError(f"unknown project {value!r}")
-            return need("project_id").isin(*ids)
+            return need("project_id").isin(*self.projects(value))
         if key in ("since", "until"):
             at = F.lit(parse_time(value, self.now))
             own = need(TIME_COLUMN.get(table))

@@ -79,6 +79,7 @@ class ReadOnly:
         plain = bare(text).strip().rstrip(";")
         if ";" in plain:
             raise GuardError("one statement at a time")
+        self._no_variables(text)
         if not re.match(r"\(*\s*(select|with|values|from|table)\b", plain, re.I):
             raise GuardError("only statements that read are allowed")
         try:
@@ -91,12 +92,17 @@ class ReadOnly:
 
     def expression(self, text: str) -> None:
         """One expression over the columns at hand, without a subquery."""
+        self._no_variables(text)
         try:
             parsed = self.state.sqlParser().parseExpression(text)
         except Exception as error:  # noqa: BLE001
             raise StatementError(f"the expression doesn't parse: {str(error).splitlines()[0]}") from error
         self._expression(parsed, None, set())
 
+    def _no_variables(self, text: str) -> None:
+        if "${" in text:  # the parser would put settings and the environment in their place
+            raise GuardError("variables are not allowed")
+
     def _plan(self, node: JavaObject, defined: frozenset[str], used: set[str]) -> None:
         kind = _kind(node)
         if kind not in NODES:

@@ -206,6 +206,31 @@ class Projection:
     def retractions(self) -> DataFrame:
         return meta.retractions(self.all_events)
 
+    @cached_property
+    def hidden(self) -> "Projection":
+        """The retracted sessions, projected on their own and judged at the same time."""
+        sessions = meta.retracted_sessions(self.meta_events)
+        rows = self.all_events.where(~F.col("kind").isin(*META)).join(sessions, "session_id", "left_semi")
+        return Projection(rows, self._as_of or self.stats.last, self.rules)
+
+    def flagged(self, name: str) -> DataFrame:
+        """A table with ``retracted`` where rows can be: live rows, and those of retracted sessions and attempts."""
+        rows = self.table(name)
+        if name not in ("sessions", "turns", "tool_calls", "attempts"):
+            return rows
+        live = rows.withColumn("retracted", F.lit(False))
+        if not self.stats.meta:
+            return live
+        gone = self.hidden.table(name)
+        out = live.unionByName(gone.withColumn("retracted", F.lit(True)), allowMissingColumns=True)
+        if name == "attempts":
+            named = self._first_attempts.join(self._retracted_attempts.select("attempt_id"), "attempt_id", "left_semi")
+            out = out.unionByName(named.withColumn("retracted", F.lit(True)), allowMissingColumns=True)
+        if name == "tool_calls":
+            calls = self._raw_calls.join(self._retracted_attempts.select(F.explode("tool_call_ids").alias("tool_call_id")).distinct(), "tool_call_id", "left_semi")
+            out = out.unionByName(calls.withColumn("retracted", F.lit(True)), allowMissingColumns=True)
+        return out
+
     TABLES = ("events", "sessions", "turns", "tool_calls", "attempts", "handoffs", "edges", "signals", "work_units", "commits", "decisions", "corrections", "retractions", "conflicts")
 
     def table(self, name: str) -> DataFrame:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .guard import ReadOnly, check_size
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations", "pages", "labels", "benchmark", "embeddings")
 
 FAMILIES: dict[str, str | tuple[str, str]] = {
@@ -61,6 +63,8 @@ def views(spark: SparkSession, sf_dir: str, text: str) -> None:
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = FAMILIES[name]
     text = text if isinstance(text, str) else text[0]
+    check_size(text)
+    ReadOnly(spark, TABLES).statement(text)
     views(spark, sf_dir, text)
     return spark.sql(text)
 

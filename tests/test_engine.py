@@ -13,7 +13,8 @@ from chronotally.functions.times import parse_time
 from chronotally.operators import graph, temporal
 from chronotally.operators.events import EVENT, conform
 from chronotally.operators.project_stage import Rules
-from chronotally.plans.engine import Engine, GuardError, check_read_only, check_size
+from chronotally.plans.engine import Engine
+from chronotally.plans.guard import GuardError, ReadOnly, check_size
 from chronotally.plans.projection import Projection
 from chronotally.plans.statements import StatementError, is_statement, parse
 from chronotally.sources import records, store
@@ -291,10 +292,143 @@ def test_parse():
     assert is_statement("-- note\nSHOW TURNS") and not is_statement("SHOW TABLES") and not is_statement("select 1") and is_statement("explain trace x causes")
 
 
-@pytest.mark.parametrize("sql", ["drop table x", "insert into x values (1)", "select 1; drop table x", "create view v as select 1", "with x as (select 1) insert into y select * from x", "set a = b", "refresh table x"])
+REFUSED = [
+    "drop table x", "insert into x values (1)", "select 1; drop table x", "create view v as select 1", "with x as (select 1) insert into y select * from x", "set a = b", "refresh table x",
+    "SELECT TRANSFORM(kind) USING 'cat' AS (x) FROM events", "SELECT java_method('java.util.UUID', 'randomUUID')", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)",
+    "WITH a AS (SELECT * FROM parquet.`/x`) SELECT * FROM a", "SELECT * FROM events WHERE kind IN (SELECT value FROM text.`/etc/passwd`)", "SELECT EXISTS (SELECT 1 FROM text.`/x`)", "SELECT * FROM events, LATERAL (SELECT * FROM text.`/x`)", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+    "SELECT IDENTIFIER('reflect')('a', 'b')", "SELECT * FROM read_files('/etc')", "SELECT input_file_name() FROM events", "SELECT transform(array(1), x -> java_method('java.util.UUID', 'randomUUID'))", "SELECT sum(1) OVER (PARTITION BY reflect('a', 'b')) FROM events", "SELECT * FROM events LATERAL VIEW reflect('a', 'b') t",
+    "FROM events |> WHERE EXISTS (SELECT 1 FROM text.`/x`)", "SELECT * FROM VALUES (java_method('a', 'b'))", "SELECT * FROM range((SELECT count(*) FROM text.`/x`))", "SELECT * FROM somebody.elses", "SELECT * FROM unknown_table", "SELECT '${env:HOME}'", "SELECT * FROM spark_catalog.default.events", "WITH events2 AS (SELECT 1) SELECT * FROM events3", "SELECT 1 ORDER BY (SELECT value FROM text.`/x` LIMIT 1)",
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED)
 def test_read_only(spark, sql):
-    with pytest.raises(Exception):
-        check_read_only(spark, sql)
+    with pytest.raises(StatementError):
+        Engine(spark, Story().project(spark)).query(sql)
+
+
+@pytest.mark.parametrize("sql", ["WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r", "SELECT kind, count(*) FILTER (WHERE exit_code > 0) FROM events GROUP BY ROLLUP (kind) HAVING count(*) > 0 ORDER BY 1 LIMIT 3", "SELECT * FROM events e WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.session_id = e.session_id)", "SELECT x FROM events LATERAL VIEW explode(paths) t AS x", "TABLE sessions", "SELECT * FROM range(3)", "VALUES (1), (2)", "WITH sessions AS (SELECT 1 AS a) SELECT a FROM sessions"])
+def test_reading_is_allowed(spark, sql):
+    ReadOnly(spark, Projection.TABLES).statement(sql)
+
+
+def test_fetch_keeps_to_its_budget(spark):
+    s = Story()
+    for k in range(30):
+        s.add("prompt_submitted", prompt=f"p{k}")
+    engine = Engine(spark, s.project(spark), max_rows=10)
+    rows, result = engine.fetch("SELECT event_id FROM events")
+    assert len(rows) == 10 and result.truncated
+    rows, result = engine.fetch("SELECT event_id FROM events LIMIT 5")
+    assert len(rows) == 5 and not result.truncated
+    rows, result = engine.fetch("SELECT event_id FROM events", max_bytes=60)
+    assert 0 < len(rows) < 10 and result.truncated
+    with pytest.raises(GuardError, match="longer"):
+        engine.fetch("SELECT sum(sin(a.id * b.id)) FROM range(4000000) a JOIN range(4000000) b ON a.id <> b.id", timeout_s=2)
+
+
+def test_subjects(spark):
+    s = Story()
+    s.add("prompt_submitted", prompt="one")
+    s.edit("a", ok=False)
+    s.edit("a", ok=False)
+    s.add("prompt_submitted", session="other", project="q", prompt="two")
+    s.edit("z", session="other", project="q")
+    s.add("turn_stopped", session="other", project="q")
+    p = s.project(spark)
+    engine = Engine(spark, p)
+    unit = p.work_units.where("project_id = 'p'").first()
+    short = unit.work_unit_id[: len("wu_trn_s1")]
+    why = engine.query(f"WHY work_unit {short} STATUS BLOCKED").df.collect()
+    assert len(why) == 1 and "repeats itself" in why[0].claim and why[0].work_unit_id == unit.work_unit_id
+    other = p.work_units.where("project_id = 'q'").first().work_unit_id
+    calm = engine.query(f"WHY work_unit {other} STATUS BLOCKED")
+    assert calm.df.count() == 0 and "not blocked" in calm.notes[0]
+    kinds = lambda text: sorted((r.subject_type, r.subject_id) for r in engine.query(text).df.collect())
+    assert kinds(f"STATE work_unit {unit.work_unit_id} AT now") == [("work_unit", unit.work_unit_id)]
+    assert kinds("STATE project p AT now") == [("session", "s1"), ("work_unit", unit.work_unit_id)]
+    assert kinds("STATE session other AT now") == [("session", "other")]
+    at = s.rows[1]["observed_at"].isoformat()
+    early = engine.query(f"STATE project p AT '{at}'").df.where("subject_type = 'work_unit'").first()
+    assert (early.attempt_count, early.failed_attempt_count) == (1, 1) and engine.query(f"STATE project q AT '{at}'").df.count() == 0
+    changed = {(r.subject, r.change, r.field) for r in engine.query(f"DIFF STATE project p '{at}' now").df.collect()}
+    assert (unit.work_unit_id, "changed", "attempt_count") in changed and ("s1", "changed", "last_attempt") in changed
+    assert "active in the last" in engine.query("WHAT IS project p DOING NOW").notes[0]
+    for bad in ("STATE work_unit nonsense AT now", "WHY work_unit nonsense STATUS BLOCKED", "STATE project nobody AT now", "WHY attempt att_nonsense FAILED", "TRACE nonsense CAUSES", "SHOW EVIDENCE FOR nonsense", f"STATE attempt {unit.last_attempt} AT now"):
+        with pytest.raises(StatementError):
+            engine.query(bad)
+    first = p.attempts.orderBy("started_at").first().attempt_id
+    assert engine.query(f"TRACE {first} CAUSES").df.count() > 0 and engine.query(f"WHY attempt {first} FAILED").df.count() == 1
+    with pytest.raises(StatementError, match="ambiguous"):
+        engine.query(f"WHY attempt {first[:-1]} FAILED")
+
+
+def test_decisions(spark):
+    """The first other call at or after a denial decides: of another tool it is a choice, of the same tool none."""
+    s = Story()
+    s.add("prompt_submitted", prompt="go")
+    for tool, category, path in (("Bash", "shell", None), ("Edit", "file_edit", "a")):
+        s.add("permission_denied", tool_name="Bash", tool_category="shell", outcome_status="denied")
+        s.add("tool_call_finished", tool_name=tool, tool_category=category, paths=[path] if path else [], outcome_status="success")
+    s.add("permission_denied", tool_name="Bash", tool_category="shell", outcome_status="denied")
+    s.add("permission_denied", tool_name="Read", tool_category="file_read", outcome_status="denied")
+    s.add("tool_call_finished", tool_name="Edit", tool_category="file_edit", paths=["b"], outcome_status="success")
+    s.add("turn_stopped")
+    p = s.project(spark)
+    of = {c: r.attempt_id for r in p.attempts.collect() for c in r.tool_call_ids}
+    calls = {r.end_event_id: r.tool_call_id for r in p.tool_calls.collect()}
+    rows = sorted((r.evidence, r.selected, r.rationale) for r in p.decisions.where("kind = 'human_intervention'").collect())
+    assert [r[0] for r in rows] == [["e003", "e004"], ["e005", "e006"], ["e006", "e007"]]
+    assert rows[0][1] == of[calls["e004"]] and rows[0][2] == "permission denied for Bash; continued with Edit (file_edit)"
+
+
+def test_approach(spark):
+    s = Story()
+    s.add("prompt_submitted", prompt="go")
+    for k in range(6):
+        s.edit(f"f{k}")
+    s.shell()
+    s.shell()
+    s.add("tool_call_finished", tool_name="Read", tool_category="file_read", paths=["x"], outcome_status="success")
+    s.add("prompt_submitted", prompt="talk")
+    rows = s.project(spark).attempts.orderBy("turn_index").collect()
+    assert [r.approach for r in rows] == ["edit f0, f1, f2, f3 +2 more · shell ×2 · read", "no tool calls"]
+
+
+def test_retracted_rows_are_flagged(spark):
+    s = Story()
+    s.add("prompt_submitted", prompt="secret")
+    s.edit("private/a", ok=False)
+    s.add("prompt_submitted", session="s2", prompt="fine")
+    bad = s.edit("b", ok=False, session="s2")
+    s.edit("b", session="s2")
+    s.add("retraction", session="s2", attrs={"target_type": "session", "target": "s1"})
+    failed = [r.attempt_id for r in s.project(spark).attempts.where("session_id = 's2'").collect() if bad in r.attempt_id]
+    s.add("retraction", session="s2", attrs={"target_type": "attempt", "target": failed[0]})
+    p = s.project(spark)
+    engine = Engine(spark, p)
+    for target in ("SESSIONS", "TURNS", "TOOL CALLS", "ATTEMPTS", "EVENTS") if "EVENTS" in __import__("chronotally.plans.statements", fromlist=["TARGETS"]).TARGETS else ("SESSIONS", "TURNS", "TOOL CALLS", "ATTEMPTS"):
+        rows = engine.query(f"SHOW {target} INCLUDING RETRACTED").df.collect()
+        assert {r.session_id for r in rows if r.retracted} >= {"s1"} and all(not r.retracted for r in rows if r.session_id == "s2" and target in ("SESSIONS", "TURNS"))
+        shown = engine.query(f"SHOW {target}")
+        assert "s1" not in {r.session_id for r in shown.df.collect()} and any("retracted rows are hidden" in n for n in shown.notes)
+    hidden = engine.query("SHOW TURNS INCLUDING RETRACTED").df.where("retracted").first()
+    assert hidden.objective is None
+    assert {r.attempt_id for r in engine.query("SHOW ATTEMPTS INCLUDING RETRACTED").df.where("retracted").collect()} >= set(failed)
+    assert bad not in {r.end_event_id for r in p.tool_calls.collect()} and engine.query("SELECT count(*) AS n FROM sessions WHERE retracted").df.first().n == 1
+
+
+def test_long_sessions_take_linear_time(spark):
+    """A session of 40,000 calls, with and without ids, every third failing."""
+    import time
+
+    n = 80_000
+    kind = F.when(F.col("id") == 0, "prompt_submitted").when(F.col("id") % 2 == 1, "tool_call_started").when(F.col("id") % 3 == 0, "tool_call_failed").otherwise("tool_call_finished")
+    events = spark.range(n).select(F.col("id").cast("string").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("observed_at"), F.lit("codex").alias("provider"), F.lit("p").alias("project_id"), F.lit("s").alias("provider_session_id"), F.lit("s").alias("session_id"), kind.alias("kind"), F.lit("Edit").alias("tool_name"), F.lit("file_edit").alias("tool_category"), F.array(F.concat(F.lit("f"), F.col("id") % 50)).alias("paths"), F.when(F.col("id") % 4 < 2, F.concat(F.lit("c"), F.floor(F.col("id") / 2))).alias("tool_call_id"))
+    p = Projection(events)
+    began = time.perf_counter()
+    assert p.attempts.count() > 1000 and p.tool_calls.count() >= n // 2 - 1
+    assert time.perf_counter() - began < 60
 
 
 def test_guard():

@@ -66,7 +66,30 @@ quiet AS (SELECT *, max(ends) OVER (PARTITION BY project_id ORDER BY begins, ses
 givers AS (SELECT q.*, g.session_id AS g_session, g.provider AS g_provider, g.turn_index AS g_turn, g.ends AS g_ends, g.ended_at AS g_ended, row_number() OVER (PARTITION BY q.session_id, q.turn_index ORDER BY g.ends DESC, g.session_id DESC, g.turn_index DESC) AS rn FROM quiet q JOIN spans g ON g.project_id = q.project_id AND g.ends <= q.begins AND NOT (g.session_id = q.session_id AND g.turn_index = q.turn_index) AND (busy IS NULL OR busy <= q.begins)),
 given AS (SELECT *, greatest((CAST(floor(begins / 1000) AS BIGINT) - CAST(floor((CASE WHEN g_ended <= begins AND g_ended > g_ends THEN g_ended ELSE g_ends END) / 1000) AS BIGINT)), 0) AS gap_ms FROM givers WHERE rn = 1 AND g_session <> session_id AND g_provider <> provider),
 shared AS (SELECT g.session_id, g.turn_index, list_sort(list_distinct(list(a.path))) AS paths FROM given g JOIN calls a ON a.session_id = g.g_session AND a.is_edit AND a.t <= g.begins JOIN calls b ON b.session_id = g.session_id AND b.path = a.path AND b.t >= g.begins GROUP BY g.session_id, g.turn_index),
-handoffs AS (SELECT g.*, coalesce(array_to_string(s.paths, ','), '') AS shared_paths, CASE WHEN s.paths IS NOT NULL AND gap_ms <= 43200000 THEN least(6 + CASE WHEN g_ended <= begins THEN 2 ELSE 0 END + CASE WHEN len(s.paths) >= 3 THEN 1 ELSE 0 END, 9) / 10 WHEN gap_ms <= 3600000 THEN 0.5 END AS confidence FROM given g LEFT JOIN shared s ON s.session_id = g.session_id AND s.turn_index = g.turn_index)
+handoffs AS (SELECT g.*, coalesce(array_to_string(s.paths, ','), '') AS shared_paths, CASE WHEN s.paths IS NOT NULL AND gap_ms <= 43200000 THEN least(6 + CASE WHEN g_ended <= begins THEN 2 ELSE 0 END + CASE WHEN len(s.paths) >= 3 THEN 1 ELSE 0 END, 9) / 10 WHEN gap_ms <= 3600000 THEN 0.5 END AS confidence FROM given g LEFT JOIN shared s ON s.session_id = g.session_id AND s.turn_index = g.turn_index),
+said AS (SELECT session_id, turn_index, g, concat_ws(' · ', CASE WHEN len(p) > 0 THEN 'edit ' || array_to_string(p[1:4], ', ') || CASE WHEN len(p) > 4 THEN ' +' || (len(p) - 4) || ' more' ELSE '' END END, CASE WHEN n_shell = 1 THEN 'shell' WHEN n_shell > 1 THEN 'shell ×' || n_shell END, CASE WHEN n_read = 1 THEN 'read' WHEN n_read > 1 THEN 'read ×' || n_read END) AS approach
+  FROM (SELECT c.session_id, c.turn_index, w.g, coalesce(any_value(p.p), []) AS p, sum(CASE WHEN tool_category = 'shell' THEN 1 ELSE 0 END) AS n_shell, sum(CASE WHEN tool_category = 'file_read' THEN 1 ELSE 0 END) AS n_read FROM calls c JOIN walk w USING (session_id, turn_index, n) LEFT JOIN (SELECT session_id, turn_index, g, list(path ORDER BY first_n) AS p FROM (SELECT c.session_id, c.turn_index, w.g, c.path, min(c.n) AS first_n FROM calls c JOIN walk w USING (session_id, turn_index, n) WHERE c.path IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) p ON p.session_id = c.session_id AND p.turn_index = c.turn_index AND p.g = w.g GROUP BY 1, 2, 3)),
+named AS (SELECT a.*, 'trn_' || a.session_id || '/' || a.turn_index AS turn_id, coalesce(d.approach, 'no tool calls') AS approach, 'att_' || a.session_id || '/' || CASE WHEN a.failing THEN 'fail/' || a.fail_event_id WHEN a.first_call_event IS NOT NULL THEN 'act/' || a.first_call_event ELSE 'turn/' || coalesce(t.prompt_event_id, t.first_event_id) END AS attempt_id
+  FROM attempts a JOIN turns t ON t.session_id = a.session_id AND t.turn_index = a.turn_index LEFT JOIN said d ON d.session_id = a.session_id AND d.turn_index = a.turn_index AND d.g = a.attempt_index)
+"""
+
+#: Work units: components of turns, their members, and the units; after PRELUDE.
+UNITS = """, edited AS (SELECT c.project_id, c.path, c.session_id, c.turn_index, min(c.t) AS first_at, max(c.t) AS last_at FROM calls c WHERE c.is_edit AND NOT EXISTS (SELECT 1 FROM (SELECT project_id, path, count(DISTINCT session_id) AS s FROM calls WHERE is_edit GROUP BY 1, 2) h JOIN (SELECT project_id, count(*) AS ps FROM sessions GROUP BY 1) q USING (project_id) WHERE h.project_id = c.project_id AND h.path = c.path AND s >= 5 AND s >= 0.25 * ps) GROUP BY 1, 2, 3, 4),
+placed AS (SELECT e.*, t.started_at AS b, greatest(t.started_at, t.last_event_at) AS e, row_number() OVER (PARTITION BY e.project_id, e.path ORDER BY first_at, e.session_id, e.turn_index) AS rn FROM edited e JOIN turns t ON t.session_id = e.session_id AND t.turn_index = e.turn_index),
+best AS (SELECT * FROM (SELECT y.session_id AS s2, y.turn_index AS t2, x.session_id AS s1, x.turn_index AS t1, row_number() OVER (PARTITION BY y.project_id, y.path, y.session_id, y.turn_index ORDER BY (x.session_id = y.session_id) DESC, x.last_at DESC, 'trn_' || x.session_id || '/' || x.turn_index DESC) AS r FROM placed y JOIN placed x ON x.project_id = y.project_id AND x.path = y.path AND x.rn < y.rn AND x.rn >= y.rn - 32 WHERE (x.session_id = y.session_id OR x.e < y.b OR x.b > y.e) AND y.first_at - x.last_at <= 172800000000) WHERE r = 1),
+pairs AS (SELECT 'trn_' || s1 || '/' || t1 AS a, 'trn_' || s2 || '/' || t2 AS b FROM best UNION SELECT 'trn_' || session_id || '/' || p, 'trn_' || session_id || '/' || turn_index FROM (SELECT session_id, turn_index, started_at, lag(turn_index) OVER w AS p, lag(ended_at) OVER w AS pe FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn_index)) WHERE pe IS NOT NULL AND started_at - pe <= 86400000000 UNION SELECT 'trn_' || g_session || '/' || g_turn, 'trn_' || session_id || '/' || turn_index FROM handoffs WHERE confidence IS NOT NULL),
+both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach AS (SELECT 'trn_' || session_id || '/' || turn_index AS v, 'trn_' || session_id || '/' || turn_index AS r FROM turns UNION SELECT w.b, reach.r FROM reach JOIN both_ways w ON w.a = reach.v AND reach.r < w.b),
+roots AS (SELECT v, min(r) AS root FROM reach GROUP BY v),
+members AS (SELECT t.*, 'trn_' || t.session_id || '/' || t.turn_index AS turn_id, 'wu_' || first_value('trn_' || t.session_id || '/' || t.turn_index) OVER (PARTITION BY r.root ORDER BY t.started_at, t.turn_index, 'trn_' || t.session_id || '/' || t.turn_index) AS unit FROM turns t JOIN roots r ON r.v = 'trn_' || t.session_id || '/' || t.turn_index),
+u_turns AS (SELECT unit, any_value(project_id) AS project_id, min(started_at) AS started_at, max(greatest(started_at, last_event_at)) AS updated_at, count(DISTINCT session_id) AS session_count, count(*) AS turn_count FROM members GROUP BY unit),
+u_actors AS (SELECT unit, string_agg(provider, ',' ORDER BY a, b, c) AS actors FROM (SELECT unit, provider, min((started_at, turn_index, turn_id))[1] AS a, min((started_at, turn_index, turn_id))[2] AS b, min((started_at, turn_index, turn_id))[3] AS c FROM members GROUP BY 1, 2) GROUP BY unit),
+u_attempts AS (SELECT m.unit, count(*) AS attempt_count, sum(CASE WHEN n.outcome IN ('failed', 'superseded') THEN 1 ELSE 0 END) AS failed_attempt_count, arg_max(n.outcome, (n.started_at, n.turn_index, n.attempt_index, n.attempt_id)) AS last_outcome, arg_max(n.attempt_id, (n.started_at, n.turn_index, n.attempt_index, n.attempt_id)) AS last_attempt FROM named n JOIN members m ON m.turn_id = n.turn_id GROUP BY m.unit),
+u_paths AS (SELECT unit, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT DISTINCT m.unit, c.path FROM calls c JOIN members m ON m.session_id = c.session_id AND m.turn_index = c.turn_index WHERE c.is_edit AND c.path IS NOT NULL) GROUP BY unit),
+u_commits AS (SELECT m.unit, count(*) AS commits FROM calls c JOIN members m ON m.session_id = c.session_id AND m.turn_index = c.turn_index WHERE c.git_subcommand = 'commit' AND c.outcome_status = 'success' GROUP BY m.unit),
+u_phase AS (SELECT unit, arg_min(decides, rk) FILTER (WHERE decides IS NOT NULL) AS phase FROM (SELECT m.unit, row_number() OVER (PARTITION BY m.unit ORDER BY c.t DESC, 'spn_' || c.session_id || '/' || c.seq DESC) AS rk, CASE WHEN c.command_category = 'test' AND c.outcome_status = 'failure' THEN 'debug' WHEN c.git_subcommand = 'commit' THEN 'deliver' WHEN c.command_category = 'test' THEN 'verify' WHEN c.is_edit THEN 'implement' END AS decides FROM calls c JOIN members m ON m.session_id = c.session_id AND m.turn_index = c.turn_index) WHERE rk <= 5 GROUP BY unit),
+units AS (SELECT t.unit AS work_unit_id, t.project_id, coalesce(f.phase, 'explore') AS phase, CASE WHEN a.last_outcome = 'succeeded' AND (coalesce(k.commits, 0) > 0 OR (now - t.updated_at) / 1e6 >= 1800) THEN 'completed' WHEN a.last_outcome = 'abandoned' OR (now - t.updated_at) / 1e6 >= 7200 THEN 'abandoned' ELSE 'open' END AS status, t.started_at, t.updated_at, t.session_count, t.turn_count, a.attempt_count, a.failed_attempt_count, coalesce(p.paths, '') AS paths, o.actors, 0.4 AS confidence, a.last_attempt, a.last_outcome
+  FROM u_turns t CROSS JOIN as_of JOIN u_attempts a USING (unit) JOIN u_actors o USING (unit) LEFT JOIN u_paths p USING (unit) LEFT JOIN u_commits k USING (unit) LEFT JOIN u_phase f USING (unit))
 """
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -155,12 +178,6 @@ def commits(spark, sf_dir):
     return p.commits.join(p.tool_calls.select("tool_call_id", "turn_index", F.col("end_event_id").alias("event_id")), "tool_call_id").select("session_id", "turn_index", "event_id", us("committed_at"), "linkage", "confidence")
 
 
-@query("edge_counts", "SELECT edge_kind, from_type, to_type, n FROM (SELECT 'parent_of' AS edge_kind, 'session' AS from_type, 'turn' AS to_type, count(*) AS n FROM turns UNION ALL SELECT 'triggered', 'event', 'turn', count(*) FROM turns WHERE prompt_event_id IS NOT NULL UNION ALL SELECT 'parent_of', 'turn', 'tool_call', count(*) FROM calls UNION ALL SELECT 'superseded', 'attempt', 'attempt', count(*) FROM links UNION ALL SELECT 'triggered', 'event', 'attempt', count(*) FROM attempts a JOIN turns t ON t.session_id = a.session_id AND t.turn_index = a.turn_index WHERE t.prompt_event_id IS NOT NULL UNION ALL SELECT 'caused', 'event', 'attempt', count(*) FROM attempts WHERE fail_event_id IS NOT NULL)")
-def edge_counts(spark, sf_dir):
-    rows = projection(spark, sf_dir).edges.where("from_type <> 'work_unit' and edge_kind not in ('evidence_for', 'handed_off', 'blocked') and not (edge_kind = 'caused' and to_type = 'event')")
-    return rows.groupBy("edge_kind", "from_type", "to_type").agg(F.count("*").alias("n"))
-
-
 @query("evidence_edges", "SELECT session_id, turn_index, attempt_index, count(*) AS n FROM (SELECT a.session_id, a.turn_index, a.attempt_index, c.event_id FROM attempts a JOIN walk w ON w.session_id = a.session_id AND w.turn_index = a.turn_index AND w.g = a.attempt_index JOIN calls c ON c.session_id = w.session_id AND c.turn_index = w.turn_index AND c.n = w.n UNION SELECT a.session_id, a.turn_index, a.attempt_index, t.prompt_event_id FROM attempts a JOIN turns t ON t.session_id = a.session_id AND t.turn_index = a.turn_index WHERE t.prompt_event_id IS NOT NULL UNION SELECT a.session_id, a.turn_index, a.attempt_index, a.stop_event_id FROM attempts a WHERE a.is_last AND a.stop_event_id IS NOT NULL) GROUP BY 1, 2, 3")
 def evidence_edges(spark, sf_dir):
     p = projection(spark, sf_dir)
@@ -214,7 +231,7 @@ def keyset_page(spark, sf_dir):
     return projection(spark, sf_dir).sessions.where((F.col("started_at") < at) | ((F.col("started_at") == at) & (F.col("session_id") > ""))).orderBy(F.desc("started_at"), "session_id").limit(26).select("session_id", us("started_at"))
 
 
-@query("approach", "SELECT session_id, turn_index, g AS attempt_index, string_agg(tool_category, ' · ' ORDER BY first_n) AS approach FROM (SELECT c.session_id, c.turn_index, w.g, c.tool_category, min(c.n) AS first_n FROM calls c JOIN walk w USING (session_id, turn_index, n) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3")
+@query("approach", "SELECT session_id, turn_index, attempt_index, approach FROM named WHERE tool_call_count > 0")
 def approach(spark, sf_dir):
     return projection(spark, sf_dir).attempts.where("tool_call_count > 0").select("session_id", "turn_index", "attempt_index", "approach")
 
@@ -256,19 +273,12 @@ def conversation_turns(spark, sf_dir):
     return conversations(spark, sf_dir).groupBy("session_id").agg(F.count_if(E.is_human_prompt()).alias("prompts"), F.count_if(F.col("kind") == "turn_stopped").alias("stops"), F.count("*").alias("events"))
 
 
-@query("work_units")
+@query("work_units", UNITS + "SELECT work_unit_id, project_id, phase, status, started_at, updated_at, session_count, turn_count, attempt_count, failed_attempt_count, paths, actors, confidence FROM units")
 def work_units(spark, sf_dir):
     return projection(spark, sf_dir).work_units.select("work_unit_id", "project_id", "phase", "status", us("started_at"), us("updated_at"), "session_count", "turn_count", "attempt_count", "failed_attempt_count", joined("paths"), joined("actors"), "confidence")
 
 
-@query("unit_components", """, edited AS (SELECT c.project_id, c.path, c.session_id, c.turn_index, min(c.t) AS first_at, max(c.t) AS last_at FROM calls c WHERE c.is_edit AND NOT EXISTS (SELECT 1 FROM (SELECT project_id, path, count(DISTINCT session_id) AS s FROM calls WHERE is_edit GROUP BY 1, 2) h JOIN (SELECT project_id, count(*) AS ps FROM sessions GROUP BY 1) q USING (project_id) WHERE h.project_id = c.project_id AND h.path = c.path AND s >= 5 AND s >= 0.25 * ps) GROUP BY 1, 2, 3, 4),
-placed AS (SELECT e.*, t.started_at AS b, greatest(t.started_at, t.last_event_at) AS e, row_number() OVER (PARTITION BY e.project_id, e.path ORDER BY first_at, e.session_id, e.turn_index) AS rn FROM edited e JOIN turns t ON t.session_id = e.session_id AND t.turn_index = e.turn_index),
-best AS (SELECT * FROM (SELECT y.session_id AS s2, y.turn_index AS t2, x.session_id AS s1, x.turn_index AS t1, row_number() OVER (PARTITION BY y.project_id, y.path, y.session_id, y.turn_index ORDER BY (x.session_id = y.session_id) DESC, x.last_at DESC, 'trn_' || x.session_id || '/' || x.turn_index DESC) AS r FROM placed y JOIN placed x ON x.project_id = y.project_id AND x.path = y.path AND x.rn < y.rn AND x.rn >= y.rn - 32 WHERE (x.session_id = y.session_id OR x.e < y.b OR x.b > y.e) AND y.first_at - x.last_at <= 172800000000) WHERE r = 1),
-pairs AS (SELECT 'trn_' || s1 || '/' || t1 AS a, 'trn_' || s2 || '/' || t2 AS b FROM best UNION SELECT 'trn_' || session_id || '/' || p, 'trn_' || session_id || '/' || turn_index FROM (SELECT session_id, turn_index, started_at, lag(turn_index) OVER w AS p, lag(ended_at) OVER w AS pe FROM turns WINDOW w AS (PARTITION BY session_id ORDER BY turn_index)) WHERE pe IS NOT NULL AND started_at - pe <= 86400000000 UNION SELECT 'trn_' || g_session || '/' || g_turn, 'trn_' || session_id || '/' || turn_index FROM handoffs WHERE confidence IS NOT NULL),
-both_ways AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach AS (SELECT 'trn_' || session_id || '/' || turn_index AS v, 'trn_' || session_id || '/' || turn_index AS r FROM turns UNION SELECT w.b, reach.r FROM reach JOIN both_ways w ON w.a = reach.v AND reach.r < w.b),
-roots AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
-SELECT root, count(*) AS turn_count FROM roots GROUP BY root""")
+@query("unit_components", UNITS + "SELECT root, count(*) AS turn_count FROM roots GROUP BY root")
 def unit_components(spark, sf_dir):
     p = projection(spark, sf_dir)
     links = project_stage.unit_links(p.turns, p.sessions, p.tool_calls, p.handoffs, RULES)
@@ -280,9 +290,11 @@ def signals(spark, sf_dir):
     return projection(spark, sf_dir).signals
 
 
-@query("decisions")
+@query("decisions", """SELECT 'dec_approach_change/' || a.attempt_id AS decision_id, 'approach_change' AS kind, a.session_id, b.attempt_id AS selected, a.attempt_id AS alternatives, b.started_at AS decided_at, 0.4 AS confidence,
+  'abandoned approach after ' || coalesce(a.failure_class, 'a failure') || ' on ' || CASE WHEN len(shared) = 0 THEN 'no shared path' ELSE array_to_string(shared[1:3], ', ') || CASE WHEN len(shared) > 3 THEN ' +' || (len(shared) - 3) || ' more' ELSE '' END END || '; retried with ' || CASE WHEN a.approach = b.approach THEN 'the same kind of change (' ELSE 'a different edit (' END || b.approach || ')' AS rationale
+FROM (SELECT x.*, list_sort(list_intersect(x.edited, y.edited)) AS shared FROM named x JOIN named y ON y.session_id = x.session_id AND y.turn_index = x.t2 AND y.attempt_index = x.i2) a JOIN named b ON b.session_id = a.session_id AND b.turn_index = a.t2 AND b.attempt_index = a.i2""")
 def decisions(spark, sf_dir):
-    return projection(spark, sf_dir).decisions.select("decision_id", "kind", "session_id", "selected", joined("alternatives"), "rationale", us("decided_at"), "confidence")
+    return projection(spark, sf_dir).decisions.select("decision_id", "kind", "session_id", "selected", joined("alternatives"), us("decided_at"), "confidence", "rationale")
 
 
 @query("conflicts")
@@ -295,27 +307,83 @@ def attention(spark, sf_dir):
     return projection(spark, sf_dir).attention
 
 
-@query("trace_causes")
+_EDGES = UNITS + """, steps AS (SELECT 'parent_of' AS edge_kind, 'session' AS from_type, session_id AS from_id, 'turn' AS to_type, turn_id AS to_id FROM members
+  UNION ALL SELECT 'triggered', 'event', prompt_event_id, 'turn', turn_id FROM members WHERE prompt_event_id IS NOT NULL
+  UNION ALL SELECT 'parent_of', 'turn', 'trn_' || session_id || '/' || turn_index, 'tool_call', 'spn_' || session_id || '/' || seq FROM calls
+  UNION ALL SELECT 'superseded', 'attempt', a.attempt_id, 'attempt', b.attempt_id FROM named a JOIN named b ON b.session_id = a.session_id AND b.turn_index = a.t2 AND b.attempt_index = a.i2
+  UNION ALL SELECT 'caused', 'event', a.fail_event_id, 'event', b.first_call_event FROM named a JOIN named b ON b.session_id = a.session_id AND b.turn_index = a.t2 AND b.attempt_index = a.i2 WHERE a.fail_event_id IS NOT NULL AND b.first_call_event IS NOT NULL
+  UNION ALL SELECT 'handed_off', 'session', g_session, 'session', session_id FROM handoffs WHERE confidence IS NOT NULL
+  UNION ALL SELECT 'parent_of', 'work_unit', unit, 'turn', turn_id FROM members
+  UNION ALL SELECT 'triggered', 'event', m.prompt_event_id, 'attempt', a.attempt_id FROM named a JOIN members m ON m.turn_id = a.turn_id WHERE m.prompt_event_id IS NOT NULL
+  UNION ALL SELECT 'caused', 'event', fail_event_id, 'attempt', attempt_id FROM named WHERE fail_event_id IS NOT NULL)
+"""
+
+
+@query("edges", _EDGES + "SELECT edge_kind, from_type, from_id, to_type, to_id, count(*) AS n FROM steps GROUP BY ALL")
+def edges(spark, sf_dir):
+    rows = projection(spark, sf_dir).edges.where("edge_kind <> 'evidence_for'")
+    return rows.groupBy("edge_kind", "from_type", "from_id", "to_type", "to_id").agg(F.count("*").alias("n"))
+
+
+_EVIDENCE = "SELECT a.attempt_id, c.event_id FROM named a JOIN walk w ON w.session_id = a.session_id AND w.turn_index = a.turn_index AND w.g = a.attempt_index JOIN calls c ON c.session_id = w.session_id AND c.turn_index = w.turn_index AND c.n = w.n UNION SELECT a.attempt_id, t.prompt_event_id FROM named a JOIN turns t ON t.session_id = a.session_id AND t.turn_index = a.turn_index WHERE t.prompt_event_id IS NOT NULL UNION SELECT attempt_id, stop_event_id FROM named WHERE is_last AND stop_event_id IS NOT NULL"
+
+
+@query("edge_counts", _EDGES + f"SELECT edge_kind, from_type, to_type, count(*) AS n FROM (SELECT edge_kind, from_type, to_type FROM steps UNION ALL SELECT 'evidence_for', 'event', 'attempt' FROM ({_EVIDENCE})) GROUP BY ALL")
+def edge_counts(spark, sf_dir):
+    return projection(spark, sf_dir).edges.groupBy("edge_kind", "from_type", "to_type").agg(F.count("*").alias("n"))
+
+
+@query("trace_causes", _EDGES + """, links_of AS (SELECT from_id AS a, to_id AS b FROM steps UNION SELECT to_id, from_id FROM steps),
+walked AS (SELECT (SELECT min(attempt_id) FROM named WHERE t2 IS NOT NULL) AS node, 0 AS d UNION SELECT l.b, w.d + 1 FROM walked w JOIN links_of l ON l.a = w.node WHERE w.d < 9),
+met AS (SELECT node, min(d) AS d FROM walked GROUP BY node)
+SELECT DISTINCT s.edge_kind, s.from_type, s.from_id, s.to_type, s.to_id, CAST(1 + least(coalesce(x.d, 99), coalesce(y.d, 99)) AS INTEGER) AS depth FROM steps s LEFT JOIN met x ON x.node = s.from_id LEFT JOIN met y ON y.node = s.to_id WHERE x.d IS NOT NULL OR y.d IS NOT NULL""")
 def trace_causes(spark, sf_dir):
     p = projection(spark, sf_dir)
     start = p.supersessions.agg(F.min("failed_id")).first()[0]
     return graph.trace(p.edges, start or "", 10, "both")[0].select("edge_kind", "from_type", "from_id", "to_type", "to_id", "depth")
 
 
-@query("why_blocked")
+_THEN = """, then_ AS (SELECT a.*, CASE WHEN a.ended_at IS NULL OR a.ended_at > {at} THEN 'in_progress' WHEN a.outcome = 'superseded' AND b.started_at > {at} THEN 'failed' ELSE a.outcome END AS outcome_then, row_number() OVER (PARTITION BY a.session_id ORDER BY a.started_at DESC, a.turn_index DESC, a.attempt_index DESC) AS rk FROM named a LEFT JOIN named b ON b.session_id = a.session_id AND b.turn_index = a.t2 AND b.attempt_index = a.i2 WHERE a.started_at <= {at}),
+stuck AS (SELECT session_id, arg_min(attempt_id, rk) AS last_attempt FROM then_ WHERE rk <= 2 GROUP BY session_id HAVING sum(CASE WHEN outcome_then = 'failed' THEN 1 ELSE 0 END) = 2 AND count(DISTINCT failure_class) = 1)
+SELECT s.session_id, 'the last two attempts failed alike: failure' AS claim, k.last_attempt AS because, CASE WHEN s.coverage = 'minimal' THEN 0.5 ELSE 0.3 END AS confidence FROM stuck k JOIN sessions s USING (session_id) WHERE s.started_at <= {at}"""
+
+
+@query("why_blocked", _THEN.format(at="epoch_us(TIMESTAMP '2024-01-20')"))
 def why_blocked(spark, sf_dir):
     return temporal.why_blocked(projection(spark, sf_dir), AT)
 
 
-@query("statement_show")
-def statement_show(spark, sf_dir):
-    engine = Engine(spark, projection(spark, sf_dir))
-    return engine.query("SHOW TOOL CALLS FOR tool=Edit AND path='src/f1*' WHERE duration_ms > 10 ORDER BY at DESC LIMIT 100").df.select("session_id", "end_event_id", joined("paths"), "duration_ms")
+def statement(name: str, text: str, columns: Callable[[], list], sql: str):
+    """A query that asks the engine one statement."""
+
+    def run(spark, sf_dir):
+        return Engine(spark, projection(spark, sf_dir)).query(text).df.select(*columns())
+
+    query(name, sql)(run)
+
+
+_ALL = "LIMIT 1000000"
+_TRIED = lambda: ["attempt_id", "session_id", "turn_index", "attempt_index", us("started_at"), "outcome", "approach"]
+_TRIED_SQL = "SELECT attempt_id, session_id, turn_index, attempt_index, started_at, outcome, approach FROM named WHERE "
+statement("statement_show", "SHOW TOOL CALLS FOR tool=Edit AND path='src/f1*' WHERE duration_ms > 10 ORDER BY at DESC LIMIT 100", lambda: ["session_id", "end_event_id", joined("paths"), "duration_ms"], "SELECT session_id, event_id AS end_event_id, path AS paths, duration_ms FROM calls WHERE tool_name = 'Edit' AND path LIKE 'src/f1%' AND duration_ms > 10 ORDER BY t DESC, 'spn_' || session_id || '/' || seq LIMIT 100")
+statement("statement_attempts", f"SHOW ATTEMPTS {_ALL}", _TRIED, _TRIED_SQL + "true")
+statement("statement_failed", f"SHOW FAILED ATTEMPTS FOR project=p1 {_ALL}", _TRIED, _TRIED_SQL + "project_id = 'p1' AND outcome IN ('failed', 'superseded')")
+statement("statement_superseded", f"SHOW SUPERSEDED ATTEMPTS FOR outcome=superseded SINCE 2024-01-10 UNTIL 2024-01-25 {_ALL}", _TRIED, _TRIED_SQL + "outcome = 'superseded' AND started_at >= epoch_us(TIMESTAMP '2024-01-10') AND started_at <= epoch_us(TIMESTAMP '2024-01-25')")
+statement("statement_newest", "SHOW ATTEMPTS LIMIT 30", _TRIED, _TRIED_SQL + "true ORDER BY started_at DESC, attempt_id LIMIT 30")
+statement("statement_sessions", f"SHOW SESSIONS FOR provider=claude WHERE failure_count > 1 ORDER BY failure_count DESC {_ALL}", lambda: ["session_id", "project_id", "state", us("started_at"), "failure_count", "retracted"], "SELECT session_id, project_id, state, started_at, failure_count, false AS retracted FROM sessions WHERE provider = 'claude_code' AND failure_count > 1")
+statement("statement_turns", f"SHOW TURNS FOR status=completed AND agent=codex {_ALL}", lambda: ["session_id", "turn_index", us("started_at"), us("ended_at"), "status"], "SELECT session_id, turn_index, started_at, ended_at, status FROM turns WHERE status = 'completed' AND provider = 'codex'")
+statement("statement_handoffs", f"SHOW HANDOFFS BETWEEN agent=codex AND agent=cursor {_ALL}", lambda: ["from_session", "to_session", "gap_ms"], "SELECT g_session AS from_session, session_id AS to_session, gap_ms FROM handoffs WHERE confidence IS NOT NULL AND ((g_provider = 'codex' AND provider = 'cursor') OR (g_provider = 'cursor' AND provider = 'codex'))")
+statement("statement_units", f"SHOW WORK UNITS FOR phase=implement AND path='src/f1*' {_ALL}", lambda: ["work_unit_id", "status", "attempt_count"], UNITS + "SELECT work_unit_id, status, attempt_count FROM units WHERE phase = 'implement' AND work_unit_id IN (SELECT m.unit FROM calls c JOIN members m ON m.session_id = c.session_id AND m.turn_index = c.turn_index WHERE c.is_edit AND c.path LIKE 'src/f1%')")
+statement("statement_commits", f"SHOW COMMITS FOR project=p2 {_ALL}", lambda: ["session_id", us("committed_at"), "linkage"], "SELECT session_id, t AS committed_at, 'unresolved' AS linkage FROM calls WHERE git_subcommand = 'commit' AND project_id = 'p2'")
+statement("statement_why_blocked", "WHY project p1 STATUS BLOCKED", lambda: ["session_id", "claim", "because"], _THEN.format(at="(SELECT now FROM as_of)").replace("SELECT s.session_id, 'the last", "SELECT s.session_id AS session_id, 'the last").replace(", CASE WHEN s.coverage = 'minimal' THEN 0.5 ELSE 0.3 END AS confidence", "") + " AND s.project_id = 'p1'")
+statement("statement_state", "STATE project p1 AT 2024-01-20", lambda: ["subject_type", "subject_id", us("last_activity_at"), "turn_status", "last_attempt_outcome"], None)
+statement("statement_sql", "SELECT s.provider, t.status, count(*) AS n, sum(a.tool_call_count) AS calls FROM sessions s JOIN turns t ON t.session_id = s.session_id JOIN attempts a ON a.turn_id = t.turn_id WHERE NOT a.retracted GROUP BY s.provider, t.status", lambda: ["provider", "status", "n", "calls"], "SELECT s.provider, t.status, count(*) AS n, sum(a.tool_call_count) AS calls FROM sessions s JOIN turns t ON t.session_id = s.session_id JOIN named a ON a.session_id = t.session_id AND a.turn_index = t.turn_index GROUP BY s.provider, t.status")
 
 
-@query("statement_what_is")
+@query("statement_what_is", "SELECT 'session' AS subject_type, x.session_id AS subject_id, x.session_state, x.turn_status, x.last_attempt_outcome FROM (" + _STATE.format(at="(SELECT now FROM as_of)") + ") x WHERE x.project_id = 'p1'")
 def statement_what_is(spark, sf_dir):
-    return Engine(spark, projection(spark, sf_dir)).query("WHAT IS project p1 DOING NOW").df.select("session_id", "session_state", "turn_status", "last_attempt_outcome")
+    rows = Engine(spark, projection(spark, sf_dir)).query("WHAT IS project p1 DOING NOW").df
+    return rows.where("subject_type = 'session'").select("subject_type", "subject_id", "session_state", "turn_status", "last_attempt_outcome")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,13 +7,13 @@ a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that t
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash); a larger one is split: each
 of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average and more from a
 small sample. From ``DEPTH`` steps on, a large bucket's sets are also held against one of them (the pivot) on sketches: where all are like the
-pivot, as in a group of near copies, the bucket ends as links to it; else it is split further, so that texts that only share a passage part, as fewer than one of their
-extensions is common on average. After ``DEEPEST`` steps a bucket is kept together without comparing.
+pivot, as in a group of near copies, the bucket ends as links to it; else it is split further, by ``LEAP`` steps at a time, so that texts that only share a passage
+part, as fewer than one of their extensions is common on average. After ``DEEPEST`` steps a bucket is kept together without comparing.
 
 Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common. For a pair of
-similarity 0.8 that is a branching process of 16 first paths with 1.33 common extensions each; all of them die within ``DEEPEST`` steps with a chance of up to 2e-3 in
-one run (8e-4 within three). So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
-its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances stays under 1e-8, so
+similarity 0.8 that is a branching process of about 16 first paths with 1.42 common extensions each, which dies out from one path with chance 0.47; all
+die with a chance of about exp(-16 * 0.53), 2e-4, in one run. So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
+its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances is about 4e-8, so
 that the miss chance with splitting included is that of the first tokens, under 1e-6.
 
 Sketch matches and kept buckets only make candidate groups (their connected components). Inside a group every pair is then compared exactly
@@ -37,9 +37,9 @@ from .shared import shuffle_width, stage
 from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_words
 
 GRAM, THRESHOLD = 5, 0.8
-SAMPLED, SMALL, BRANCH, DEPTH, DEEPEST, BLOCK = 18.0, 128, 1.5, 3, 10, 256
+SAMPLED, SMALL, BRANCH, DEPTH, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 9, 256
 BINS, SKETCH_AT = 128, 0.55
-RUNS = 3
+RUNS = 2
 STEPS = [f"steps{k}" for k in range(RUNS)]
 BROADCAST_ROWS = 500_000
 
@@ -170,37 +170,44 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     """The edges of one run, and the (path, vid) of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
-    edges = split = None
-    for depth in range(1, DEEPEST + 1):
+    found, split, depth = [], None, 1
+    while True:
         # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
         sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
         met = stage(paths.join(sizes, "path"), "paths")
         small = met.where(F.col("count") <= SMALL).select("path", "vid").join(sets.select("vid", "sketch"), "vid")
-        close = small.select("path", "vid", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long")
-        edges = close if edges is None else edges.unionByName(close)
+        # staged too: the plan of all steps together would be more than the driver should hold
+        found.append(stage(small.select("path", "vid", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(_brute, "a long, b long"), "close"))
         large = met.where(F.col("count") > SMALL).select("path", "vid")
         if large.isEmpty():
             break
         split = large if depth == 1 else split
-        if depth == DEEPEST:
+        if depth >= DEEPEST:
             least = large.groupBy("path").agg(F.min("vid").alias("b"))
-            edges = edges.unionByName(large.join(least, "path").where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
+            found.append(large.join(least, "path").where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
             break
         if depth >= DEPTH:
             pivots = large.groupBy("path").agg(F.min("vid").alias("pivot")).join(sets.select(F.col("vid").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
             held = large.join(pivots, "path").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "pivot", "sketch", "pivot_sketch")
             held = stage(held.mapInArrow(_like_pivot, "path long, vid long, pivot long, like boolean"), "pivots")
-            edges = edges.unionByName(held.where("like and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct())
+            found.append(held.where("like and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct())
             mixed = stage(held.groupBy("path").agg(F.min("like").alias("all")).where("not all").select("path"), "mixed")
             if mixed.isEmpty():
                 break
             large = held.select("path", "vid").join(mixed, "path")
         # a small sample extends more in the first steps, up to all its tokens, as it has few paths that could find a pair
         boost = F.greatest(F.lit(1.0), SAMPLED / F.size("steps")) if depth < DEPTH else F.lit(1.0)
-        step = F.filter("steps", lambda t: (t != F.col("path")) & (F.pmod(F.xxhash64("path", t, F.lit(run)), F.lit(1 << 20)) * F.size("steps") < boost * BRANCH * (1 << 20)))
-        longer = large.join(sets.select("vid", "steps"), "vid").select("vid", "path", F.explode(step).alias("t"))
-        # the order of the steps doesn't matter to who shares them
-        paths = longer.select("vid", F.xxhash64("path", "t", F.lit(depth)).alias("path"))
+        longer = large.join(sets.select("vid", "steps"), "vid").withColumn("paths", F.array("path"))
+        for step in range(depth, depth + (1 if depth < DEPTH else LEAP)):
+            # the order of the steps doesn't matter to who shares them
+            chosen = lambda path: F.filter("steps", lambda t: (t != path) & (F.pmod(F.xxhash64(path, t, F.lit(run)), F.lit(1 << 20)) * F.size("steps") < boost * BRANCH * (1 << 20)))  # noqa: E731, B023
+            extended = lambda path: F.transform(chosen(path), lambda t: F.xxhash64(path, t, F.lit(step)))  # noqa: E731, B023
+            longer = longer.withColumn("paths", F.flatten(F.transform("paths", extended)))
+        depth += 1 if depth < DEPTH else LEAP
+        paths = longer.select("vid", F.explode("paths").alias("path"))
+    edges = found[0]
+    for part in found[1:]:
+        edges = edges.unionByName(part)
     return edges, split
 
 

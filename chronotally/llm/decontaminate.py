@@ -33,7 +33,7 @@ from .shared import documents
 from .words import U64, by_size, hash_strings, ranges, span_hash, split_words
 
 FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
-SHORTEST, COUNTED, LONGEST, RARE, RARE_SHARE, RARE_COUNT, SHARED, THRESHOLD = 2, 4, 8, 1e-8, 1e-6, 20, 20, 0.5
+SHORTEST, COUNTED, LONGEST, RARE, RARE_SHARE, RARE_COUNT, SHARED, THRESHOLD = 2, 3, 8, 1e-8, 1e-6, 20, 20, 0.5
 ITEM_BYTES = 16 << 20
 
 
@@ -59,6 +59,7 @@ class Items:
     words: list[np.ndarray]  # word hashes of each item
     vocabulary: np.ndarray  # distinct word hashes, ascending
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by n: hashes ascending, item, place
+    heads: dict[int, np.ndarray]  # by n: the words that begin a seed, ascending
 
 
 def read_items(rows: list) -> tuple[list, list[np.ndarray], np.ndarray]:
@@ -94,7 +95,8 @@ def make_seeds(ids: list, words: list[np.ndarray], vocabulary: np.ndarray, count
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     logs = np.concatenate([[0.0], np.cumsum(np.concatenate([chance[np.searchsorted(vocabulary, w)] for w in words] or [[]]))])
     firsts = np.cumsum(sizes) - sizes
-    seeds, done = {}, np.zeros(int(sizes.sum()), dtype=bool)  # places that have their seed
+    seeds, heads, done = {}, {}, np.zeros(int(sizes.sum()), dtype=bool)  # places that have their seed
+    flat = np.concatenate([*words, np.empty(0, dtype=U64)])
     for n, (h, item, place) in item_grams(words).items():
         distinct, where = np.unique(h, return_inverse=True)
         pairs = np.unique(np.stack([where, item]), axis=1) if len(h) else np.empty((2, 0), dtype=np.int64)
@@ -110,7 +112,8 @@ def make_seeds(ids: list, words: list[np.ndarray], vocabulary: np.ndarray, count
         if take.any():
             order = np.argsort(h[take], kind="stable")
             seeds[n] = (h[take][order], item[take][order], place[take][order])
-    return Items(ids, words, vocabulary, seeds)
+            heads[n] = np.unique(flat[at[take]])
+    return Items(ids, words, vocabulary, seeds, heads)
 
 
 def align(item: np.ndarray, length: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +169,7 @@ def find(items: Items, codes: np.ndarray, offsets: np.ndarray, hashes: np.ndarra
     run = _runs(inside, offsets)
     hits = []
     for size, (seeds, item, place) in items.seeds.items():
-        starts = np.flatnonzero(run >= size)
+        starts = np.flatnonzero((run >= size) & _known(items.heads[size], hashes)[codes])
         if not len(starts):
             continue
         h = span_hash(values, starts, starts + size)

@@ -4,11 +4,12 @@ A text's set holds its distinct runs of five words (a shorter text has one: all
 Each set samples about ``SAMPLED`` of its tokens by a hash of the token against a threshold that falls with the set's size (a set
 of fewer tokens keeps all); these are the first steps of all runs at once, and a pair of similarity ``threshold`` shares none of them with
 a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
-bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash); a larger one is split: each
-of its sets extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average and more from a
-small sample. From ``DEPTH`` steps on, a large bucket's sets are also held against one of them (the pivot) on sketches: where all are like the
-pivot, as in a group of near copies, the bucket ends as links to it; else it is split further, by ``LEAP`` steps at a time, so that texts that only share a passage
-part, as fewer than one of their extensions is common on average. After ``DEEPEST`` steps a bucket is kept together without comparing.
+bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash). The sets of a larger one are held against
+three of them (the pivots) on sketches: sets over ``LIKE`` are linked to the pivot, and those over ``SAME`` leave the bucket; distance being a metric, what is
+similar to one that left is near enough the pivot to be linked to it too. So a group of near copies ends as links, and only what differs is split: each of these sets
+extends the path by further tokens of its sample, chosen by a hash of path and token, ``BRANCH`` on average and more from a small sample, one step at a time
+up to ``DEPTH`` and then ``LEAP`` steps. Texts that only share a passage part there, as fewer than one of their extensions is common on
+average. After ``DEEPEST`` steps a bucket is kept together without comparing.
 
 Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common. For a pair of
 similarity 0.8 that is a branching process of about 16 first paths with 1.42 common extensions each, which dies out from one path with chance 0.47; all
@@ -39,6 +40,7 @@ from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_wor
 GRAM, THRESHOLD = 5, 0.8
 SAMPLED, SMALL, BRANCH, DEPTH, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 9, 256
 BINS, SKETCH_AT = 128, 0.55
+LIKE, SAME = 0.45, 0.75
 RUNS = 2
 STEPS = [f"steps{k}" for k in range(RUNS)]
 BROADCAST_ROWS = 500_000
@@ -101,8 +103,7 @@ def _describe(gram: int):
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    either = ((a | b) != 0).sum(axis=1)
-    return ((a == b) & (a != 0)).sum(axis=1) >= SKETCH_AT * np.maximum(either, 1)
+    return _share(a, b) >= SKETCH_AT
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +169,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 
 
 def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
-    """The edges of one run, and the (path, vid) of first buckets that were split. sets: vid, steps, sketch."""
+    """The edges of one run, and the (path, vid) of the sets of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
     found, split, depth = [], None, 1
     while True:
@@ -181,20 +182,23 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
         large = met.where(F.col("count") > SMALL).select("path", "vid")
         if large.isEmpty():
             break
-        split = large if depth == 1 else split
         if depth >= DEEPEST:
             least = large.groupBy("path").agg(F.min("vid").alias("b"))
             found.append(large.join(least, "path").where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
             break
-        if depth >= DEPTH:
-            pivots = large.groupBy("path").agg(F.min("vid").alias("pivot")).join(sets.select(F.col("vid").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-            held = large.join(pivots, "path").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "pivot", "sketch", "pivot_sketch")
-            held = stage(held.mapInArrow(_like_pivot, "path long, vid long, pivot long, like boolean"), "pivots")
-            found.append(held.where("like and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")).distinct())
-            mixed = stage(held.groupBy("path").agg(F.min("like").alias("all")).where("not all").select("path"), "mixed")
-            if mixed.isEmpty():
+        if depth < DEEPEST:
+            chosen = F.array_distinct(F.array(F.min("vid"), F.max("vid"), F.min_by("vid", F.xxhash64("vid", "path"))))
+            pivots = large.groupBy("path").agg(chosen.alias("pivot")).select("path", F.explode("pivot").alias("pivot"))
+            pivots = pivots.join(sets.select(F.col("vid").alias("pivot"), F.col("sketch").alias("mark")), "pivot").groupBy("path").agg(F.collect_list("pivot").alias("pivots"), F.collect_list("mark").alias("marks"))
+            one = lambda name, k: F.get(name, F.lit(k)).alias(f"{name}{k}")
+            # dealt by set, as a hot path's sets are too many for one task
+            held = large.join(pivots, "path").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", *[one(name, k) for name in ("pivots", "marks") for k in range(3)])
+            held = stage(held.mapInArrow(_against_pivots, "path long, vid long, gone boolean, linked array<long>"), "pivots")
+            found.append(held.select("vid", F.explode("linked").alias("b")).where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
+            large = held.where("not gone").select("path", "vid")
+            if large.isEmpty():
                 break
-            large = held.select("path", "vid").join(mixed, "path")
+            split = large if depth == 1 else split
         # a small sample extends more in the first steps, up to all its tokens, as it has few paths that could find a pair
         boost = F.greatest(F.lit(1.0), SAMPLED / F.size("steps")) if depth < DEPTH else F.lit(1.0)
         longer = large.join(sets.select("vid", "steps"), "vid").withColumn("paths", F.array("path"))
@@ -204,18 +208,29 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
             extended = lambda path: F.transform(chosen(path), lambda t: F.xxhash64(path, t, F.lit(step)))  # noqa: E731, B023
             longer = longer.withColumn("paths", F.flatten(F.transform("paths", extended)))
         depth += 1 if depth < DEPTH else LEAP
-        paths = longer.select("vid", F.explode("paths").alias("path"))
+        paths = longer.select("vid", F.explode_outer("paths").alias("path")).where("path is not null")
     edges = found[0]
     for part in found[1:]:
         edges = edges.unionByName(part)
     return edges, split
 
 
-def _like_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Is each set's sketch like that of its bucket's pivot?"""
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of sketches, row by row."""
+    return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(((a | b) != 0).sum(axis=1), 1)
+
+
+def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of its bucket's pivots is each set linked to, and does it leave the bucket?"""
+    empty = bytes(BINS)
+    rows = lambda column: np.frombuffer(b"".join(x or empty for x in column.to_pylist()), np.uint8).reshape(-1, BINS)
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot_sketch"))
-        yield pa.RecordBatch.from_arrays([batch["path"], batch["vid"], batch["pivot"], pa.array(_alike(a, b))], names=["path", "vid", "pivot", "like"])
+        own = rows(batch["sketch"])
+        shares = np.stack([_share(own, rows(batch[f"marks{k}"])) for k in range(3)], axis=1)
+        names = np.stack([batch[f"pivots{k}"].fill_null(-1).to_numpy() for k in range(3)], axis=1)
+        linked = (shares >= LIKE) & (names >= 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(linked.sum(axis=1))]).astype(np.int32)), pa.array(names[linked]))
+        yield pa.RecordBatch.from_arrays([batch["path"], batch["vid"], pa.array((shares >= SAME).any(axis=1)), lists], names=["path", "vid", "gone", "linked"])
 
 
 def _sets(gram: int):

@@ -13,9 +13,9 @@ average. After ``DEEPEST`` steps a bucket is kept together without comparing.
 
 Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common. For a pair of
 similarity 0.8 that is a branching process of about 16 first paths with 1.42 common extensions each, which dies out from one path with chance 0.47; all
-die with a chance of about exp(-16 * 0.53), 2e-4, in one run. So all sets that were in a large bucket go through ``RUNS`` runs in all, each with
-its own sample and its own extensions; no pair outside can have been lost by splitting. The product of the runs' chances is about 4e-8, so
-that the miss chance with splitting included is that of the first tokens, under 1e-6.
+die with a chance of about exp(-16 * 0.53), 2e-4, in one run. Sets that were split go through ``RUNS`` runs in all, each with its own sample and its own extensions;
+no pair outside can have been lost by splitting. The target is a recall of 0.999 of links at the threshold itself whose sets were all split (links that
+are closer are missed far less, and those in buckets of up to ``SMALL`` with the chance of the first tokens, under 1e-6); one run reaches it, two would miss 4e-8.
 
 Sketch matches and kept buckets only make candidate groups (their connected components). Inside a group every pair is then compared exactly
 on the full sets, so the links are exact and nothing is capped: a group beyond ``BLOCK`` sets is compared in pairs of blocks. The result
@@ -41,7 +41,7 @@ GRAM, THRESHOLD = 5, 0.8
 SAMPLED, SMALL, BRANCH, DEPTH, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 9, 256
 BINS, SKETCH_AT = 128, 0.55
 LIKE, SAME = 0.45, 0.75
-RUNS = 2
+RUNS = 1
 STEPS = [f"steps{k}" for k in range(RUNS)]
 BROADCAST_ROWS = 500_000
 
@@ -160,7 +160,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of vids whose components hold every similar pair. sets: vid, the steps of each run, sketch."""
     edges, split = _one_run(sets.select("vid", F.col(STEPS[0]).alias("steps"), "sketch"), 0)
-    if split is not None:
+    if split is not None and RUNS > 1:
         # only pairs whose buckets were all split can be lost by it
         again = stage(sets.join(split.select("vid").distinct(), "vid"), "again")
         for run in range(1, RUNS):

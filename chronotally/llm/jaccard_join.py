@@ -193,9 +193,9 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
             one = lambda name, k: F.get(name, F.lit(k)).alias(f"{name}{k}")
             # dealt by set, as a hot path's sets are too many for one task
             held = large.join(pivots, "path").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", *[one(name, k) for name in ("pivots", "marks") for k in range(3)])
-            held = stage(held.mapInArrow(_against_pivots, "path long, vid long, gone boolean, linked array<long>"), "pivots")
-            found.append(held.select("vid", F.explode("linked").alias("b")).where("vid <> b").select(F.col("vid").alias("a"), "b").distinct())
-            large = held.where("not gone").select("path", "vid")
+            held = stage(held.mapInArrow(_against_pivots, "path long, vid long, a long, b long"), "pivots")
+            found.append(held.where("a is not null").select("a", "b"))
+            large = held.where("path is not null").select("path", "vid")
             if large.isEmpty():
                 break
             if depth == 1:
@@ -225,16 +225,21 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which of its bucket's pivots is each set linked to, and does it leave the bucket?"""
+    """path, vid of the sets that stay in their bucket, and the links (a, b) to pivots, thinned to a forest with the same components."""
     empty = bytes(BINS)
     rows = lambda column: np.frombuffer(b"".join(x or empty for x in column.to_pylist()), np.uint8).reshape(-1, BINS)
     for batch in batches:
-        own = rows(batch["sketch"])
+        if not batch.num_rows:
+            continue
+        own, path, vid = rows(batch["sketch"]), batch["path"].to_numpy(), batch["vid"].to_numpy()
         shares = np.stack([_share(own, rows(batch[f"marks{k}"])) for k in range(3)], axis=1)
         names = np.stack([batch[f"pivots{k}"].fill_null(-1).to_numpy() for k in range(3)], axis=1)
-        linked = (shares >= LIKE) & (names >= 0)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(linked.sum(axis=1))]).astype(np.int32)), pa.array(names[linked]))
-        yield pa.RecordBatch.from_arrays([batch["path"], batch["vid"], pa.array((shares >= SAME).any(axis=1)), lists], names=["path", "vid", "gone", "linked"])
+        which, k = np.nonzero((shares >= LIKE) & (names >= 0) & (names != vid[:, None]))
+        a, b = forest(vid[which], names[which, k]) if len(which) else (np.empty(0, np.int64),) * 2
+        stays = ~(shares >= SAME).any(axis=1)
+        none = lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(path[stays]), pa.array(vid[stays]), none(int(stays.sum())), none(int(stays.sum()))], names=["path", "vid", "a", "b"])
+        yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(a), pa.array(b)], names=["path", "vid", "a", "b"])
 
 
 def _sets(gram: int):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .shared import shuffle_width, stage
-from .words import U64, by_size, hash_strings, mix, ranges, span_hash, split_words
+from .words import U64, by_size, hash_strings, mix, ranges, release, span_hash, split_words
 
 GRAM, THRESHOLD = 5, 0.8
 SAMPLED, SMALL, BRANCH, DEPTH, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 9, 256
@@ -155,6 +155,7 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = table.slice(cut)
     if held is not None and held.num_rows:
         yield pairs(held)
+    release()
 
 
 def candidate_edges(sets: DataFrame) -> DataFrame:
@@ -240,6 +241,7 @@ def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         none = lambda n: pa.nulls(n, pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(path[stays]), pa.array(vid[stays]), none(int(stays.sum())), none(int(stays.sum()))], names=["path", "vid", "a", "b"])
         yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(a), pa.array(b)], names=["path", "vid", "a", "b"])
+    release()
 
 
 def _sets(gram: int):
@@ -315,6 +317,8 @@ def _verify(threshold: float):
             out_vid.append(vid[rows[some]])
             out_other.append(np.full(int(some.sum()), -1))
             out_links.append(links[some])
+        del tokens
+        release()
         cat = lambda x: np.concatenate(x) if x else np.empty(0)
         return pa.table({"vid": pa.array(cat(out_vid).astype(np.int64)), "other": pa.array(cat(out_other).astype(np.int64)), "links": pa.array(cat(out_links).astype(np.int64))})
 

@@ -7,8 +7,8 @@ a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that t
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash). The sets of a larger one are held against
 three of them (the pivots) on sketches: sets over ``LIKE`` are linked to the pivot, and those over ``SAME`` leave the bucket; distance being a metric, what is
 similar to one that left is near enough the pivot to be linked to it too. So a group of near copies ends as links, and only what differs is split: each of these sets
-extends the path by further tokens of its sample that have large buckets too, chosen by a hash of path and token, ``BRANCH`` on average and more from a small sample, one step at a time
-up to ``DEPTH`` and then ``LEAP`` steps. Texts that only share a passage part there, as fewer than one of their extensions is common on
+extends the path by further tokens of its sample that have large buckets too, chosen by a hash of path and token, ``BRANCH`` on average and more from a small sample before step ``BOOSTED``, ``LEAP`` steps
+at a time. Texts that only share a passage part there, as fewer than one of their extensions is common on
 average. After ``DEEPEST`` steps a bucket is kept together without comparing.
 
 Splitting may lose a pair all of whose buckets are large: each path dies if its two sets have no extension in common. For a pair of
@@ -38,7 +38,7 @@ from .shared import shuffle_width, stage
 from .words import U64, by_size, hash_strings, mix, ranges, release, span_hash, split_words
 
 GRAM, THRESHOLD = 5, 0.8
-SAMPLED, SMALL, BRANCH, DEPTH, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 9, 256
+SAMPLED, SMALL, BRANCH, BOOSTED, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 10, 256
 BINS, SKETCH_AT = 128, 0.55
 LIKE, SAME = 0.45, 0.75
 RUNS = 1
@@ -204,15 +204,15 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
                 # a pair whose buckets were all large shares only tokens of large buckets: no others are worth a step
                 wide = met.where(F.col("count") > SMALL).groupBy("vid").agg(F.collect_list("path").alias("wide"))
                 wide = stage(wide.join(sets.select("vid", F.size("steps").alias("n")), "vid"), "wide")
-        # a small sample extends more in the first steps, up to all its tokens, as it has few paths that could find a pair
-        boost = F.greatest(F.lit(1.0), SAMPLED / F.col("n")) if depth < DEPTH else F.lit(1.0)
         longer = large.repartition("vid").join(wide, "vid").withColumn("paths", F.array("path"))
-        for step in range(depth, depth + (1 if depth < DEPTH else LEAP)):
+        for step in range(depth, depth + LEAP):
+            # a small sample extends more in the first steps, up to all its tokens, as it has few paths that could find a pair
+            boost = F.greatest(F.lit(1.0), SAMPLED / F.col("n")) if step < BOOSTED else F.lit(1.0)
             # the order of the steps doesn't matter to who shares them
             chosen = lambda path: F.filter("wide", lambda t: (t != path) & (F.pmod(F.xxhash64(path, t, F.lit(run)), F.lit(1 << 20)) * F.col("n") < boost * BRANCH * (1 << 20)))  # noqa: E731, B023
             extended = lambda path: F.transform(chosen(path), lambda t: F.xxhash64(path, t, F.lit(step)))  # noqa: E731, B023
             longer = longer.withColumn("paths", F.flatten(F.transform("paths", extended)))
-        depth += 1 if depth < DEPTH else LEAP
+        depth += LEAP
         paths = longer.select("vid", F.explode_outer("paths").alias("path")).where("path is not null")
     edges = found[0]
     for part in found[1:]:

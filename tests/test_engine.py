@@ -152,6 +152,35 @@ def test_handoff(spark):
     assert rows["c"].from_session == "b" and rows["c"].confidence == 0.5
 
 
+def test_handoff_of_a_session_that_only_stops(spark):
+    s = Story()
+    s.add("prompt_submitted", session="a", prompt="x")
+    s.add("turn_stopped", session="a")
+    s.add("turn_stopped", session="b", provider="codex")
+    s.add("prompt_submitted", session="c", provider="cursor", prompt="y")
+    givers = lambda rules: {(r.from_session, r.to_session) for r in s.project(spark, rules=rules).handoffs.collect()}
+    assert givers(Rules()) == {("a", "c")}
+    assert givers(Rules(handoff_active_only=False)) == {("a", "b"), ("b", "c")}
+
+
+def test_registered_handoffs_match_their_sql_with_sessions_that_only_stop(spark, tmp_path):
+    """hand-offs, units and edges of the derived stream against DuckDB, with users who have but a stop."""
+    import __spark_entry__ as entry
+
+    at = lambda minutes: datetime(2024, 1, 15) + timedelta(minutes=minutes)
+    rows = [(1, at(0), 0, "purchase", 3.0, '{"k": 5}'), (2, at(1), 0, "view", 1.0, '{"k": 4}'), (3, at(10), 1, "view", 1.0, '{"k": 8}'), (4, at(20), 2, "purchase", 2.0, '{"k": 5}'), (5, at(30), 3, "view", 1.0, '{"k": 12}'), (6, at(40), 2, "signup", 1.0, '{"k": 1}'), (7, at(50), 3, "click", 1.0, '{"k": 3}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    queries, texts = entry.queries(), entry.oracle_sql()
+    for name in ("handoffs", "edge_counts", "edges", "statement_handoffs", "statement_units", "unit_components", "work_units"):
+        got = queries[name](spark, str(tmp_path))
+        want = con.sql(texts[name])
+        assert sorted(want.columns) == sorted(got.columns)
+        clean = lambda found: sorted(str([float(v) if type(v).__name__ == "Decimal" else v for v in r]) for r in found)
+        assert clean(got.select(*want.columns).collect()) == clean(want.fetchall()), name
+
+
 def test_commits(spark):
     s = Story()
     s.add("session_started", head="h0")

@@ -314,6 +314,34 @@ def test_parse_errors(statement, part):
         parse(statement)
 
 
+def test_limit_all(spark):
+    s = Story()
+    for _ in range(101):
+        s.add("prompt_submitted", prompt="x")
+    engine = Engine(spark, s.project(spark))
+    assert parse("SHOW TURNS LIMIT ALL").limit is None and parse("SHOW TURNS").limit == 100
+    assert engine.query("SHOW TURNS").df.count() == 100
+    result = engine.query("SHOW TURNS ORDER BY turn_index LIMIT ALL")
+    assert [r.turn_index for r in result.df.collect()] == list(range(1, 102)) and not result.notes
+    with pytest.raises(StatementError):
+        parse("SHOW TURNS LIMIT SOME")
+
+
+def test_registered_statements_name_no_number_of_rows():
+    """Of the registered statements only those whose SQL ends in the same LIMIT are cut."""
+    import inspect
+
+    import __spark_entry__ as entry
+    from chronotally.plans import event_queries
+
+    texts = entry.oracle_sql()
+    for name, run in event_queries.queries().items():
+        text = inspect.getclosurevars(run).nonlocals.get("text")
+        if name.startswith("statement_") and text and text.startswith("SHOW"):
+            limit = parse(text).limit
+            assert texts[name].endswith(f"LIMIT {limit}") if limit is not None else " LIMIT " not in texts[name], name
+
+
 def test_parse():
     s = parse("SHOW FAILED ATTEMPTS FOR project='a b', path='src/*' AND tool=Edit SINCE -2h WHERE (x > 1 or y) and z ORDER BY started_at DESC LIMIT 7 INCLUDING RETRACTED")
     assert (s.target, s.kind, s.limit, s.retracted, s.order, s.where) == ("attempts", "failed", 7, True, ("started_at", False), "(x > 1 or y) and z")

@@ -6,7 +6,9 @@ of fewer tokens keeps all); these are the first steps of all runs at once, and a
 a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash). The sets of a larger one are held against
 three of them (the pivots) on sketches: sets over ``LIKE`` are linked to the pivot, and those over ``SAME`` leave the bucket; distance being a metric, what is
-similar to one that left is near enough the pivot to be linked to it too. So a group of near copies ends as links, and only what differs is split: each of these sets
+similar to one that left is near enough the pivot to be linked to it too. A bucket of whose sets all but ``SMALL`` are one component of the links to pivots
+so far is done by brute force: these few are held against all, and the rest are one candidate group already.
+So a group of near copies ends as links, and only what differs is split: each of these sets
 extends the path by further tokens of its sample that have large buckets too, chosen by a hash of path and token, ``BRANCH`` on average and more from a small sample before step ``BOOSTED``, ``LEAP`` steps
 at a time. Texts that only share a passage part there, as fewer than one of their extensions is common on
 average. After ``DEEPEST`` steps a bucket is kept together without comparing.
@@ -27,7 +29,7 @@ other. A class whose doc_ids are all null has a null class_id. An empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from .words import U64, by_size, hash_strings, mix, ranges, release, span_hash,
 
 GRAM, THRESHOLD = 5, 0.8
 SAMPLED, SMALL, BRANCH, BOOSTED, LEAP, DEEPEST, BLOCK = 18.0, 128, 1.6, 3, 3, 10, 256
+SLICE = 1024
 BINS, SKETCH_AT = 128, 0.55
 LIKE, SAME = 0.45, 0.75
 RUNS = 1
@@ -128,12 +131,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (path, vid, sketch) ordered by path: the pairs of a bucket with like sketches, thinned to a forest with the same components."""
-    held: pa.Table | None = None
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        path, vid = table["path"].to_numpy(), table["vid"].to_numpy()
-        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        found = []
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        path, vid, marks = table["path"].to_numpy(), table["vid"].to_numpy(), _marks(table)
         for gap in range(1, min(SMALL, len(path))):
             at = np.flatnonzero(path[gap:] == path[:-gap])
             if not len(at):
@@ -141,8 +141,35 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(at), 1 << 15):
                 some = at[k : k + (1 << 15)]
                 some = some[_alike(marks[some], marks[some + gap])]
-                found.append(np.stack([np.minimum(vid[some], vid[some + gap]), np.maximum(vid[some], vid[some + gap])]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
+                yield vid[some], vid[some + gap]
+
+    return _by_bucket(batches, pairs)
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, vid, sketch, other) ordered by path: as ``_brute``, but only pairs of a row with ``other`` and any row."""
+
+    def pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        path, vid, marks = table["path"].to_numpy(), table["vid"].to_numpy(), _marks(table)
+        for one in np.flatnonzero(table["other"].to_numpy()):
+            a, b = np.searchsorted(path, [path[one]], "left")[0], np.searchsorted(path, [path[one]], "right")[0]
+            like = a + np.flatnonzero(_alike(marks[a:b], marks[one]) & (vid[a:b] != vid[one]))
+            yield vid[like], np.full(len(like), vid[one])
+
+    return _by_bucket(batches, pairs)
+
+
+def _marks(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], found: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The pairs that are ``found`` in whole buckets of rows ordered by path, as forests (a, b)."""
+    held: pa.Table | None = None
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        both = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in found(table)]
+        both = np.concatenate(both, axis=1) if both else np.empty((2, 0), dtype=np.int64)
         least, most = forest(both[0], both[1])
         return pa.RecordBatch.from_arrays([pa.array(least), pa.array(most)], names=["a", "b"])
 
@@ -172,7 +199,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     """The edges of one run, and the (path, vid) of the sets of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
-    found, split, wide, depth = [], None, None, 1
+    found, links, split, wide, depth = [], [], None, None, 1
     while True:
         # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
         sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
@@ -195,14 +222,15 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
             # dealt by set, as a hot path's sets are too many for one task
             held = large.join(pivots, "path").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", *[one(name, k) for name in ("pivots", "marks") for k in range(3)])
             held = stage(held.mapInArrow(_against_pivots, "path long, vid long, a long, b long"), "pivots")
-            found.append(held.where("a is not null").select("a", "b"))
-            large = held.where("path is not null").select("path", "vid")
+            links.append(held.where("a is not null").select("a", "b"))
+            large, beside = _but_one_group(held.where("path is not null").select("path", "vid"), sets, links)
+            found += [links[-1], beside]
             if large.isEmpty():
                 break
             if depth == 1:
                 split = large
-                # a pair whose buckets were all large shares only tokens of large buckets: no others are worth a step
-                wide = met.where(F.col("count") > SMALL).groupBy("vid").agg(F.collect_list("path").alias("wide"))
+                # a pair whose buckets were all split shares only tokens of split buckets: no others are worth a step
+                wide = met.join(large.select("path").distinct(), "path").groupBy("vid").agg(F.collect_list("path").alias("wide"))
                 wide = stage(wide.join(sets.select("vid", F.size("steps").alias("n")), "vid"), "wide")
         longer = large.repartition("vid").join(wide, "vid").withColumn("paths", F.array("path"))
         for step in range(depth, depth + LEAP):
@@ -220,6 +248,24 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     return edges, split
 
 
+def _but_one_group(large: DataFrame, sets: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The rows (path, vid) of buckets that go on, and the pairs (a, b) of those that don't: whose sets, all but SMALL, are one component of ``links``."""
+    edges = links[0]
+    for part in links[1:]:
+        edges = edges.unionByName(part)
+    roots = components(edges).withColumnRenamed("vertex", "vid")
+    rows = stage(large.join(roots, "vid", "left").select("path", "vid", F.coalesce("root", "vid").alias("root")), "rooted")
+    groups = rows.groupBy("path", "root").count().groupBy("path").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("n"))
+    groups = stage(groups.withColumn("others", F.col("n") - F.col("most.count")).where(F.col("others") <= SMALL).select("path", F.col("most.root").alias("own"), "n", "others"), "groups")
+    # a hot path's sets are too many for one task: they lie in slices, each with the few others
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    mixed = rows.join(groups.where("others > 0"), "path").withColumn("other", F.col("root") != F.col("own"))
+    mixed = mixed.withColumn("slice", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("vid"), slices).cast("int")))))
+    mixed = mixed.select(F.xxhash64("path", "slice").alias("path"), "vid", "other").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", "other")
+    beside = stage(mixed.repartition("path").sortWithinPartitions("path").mapInArrow(_beside, "a long, b long"), "beside")
+    return rows.join(groups, "path", "left_anti").select("path", "vid"), beside
+
+
 def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of sketches, row by row."""
     return ((a == b) & (a != 0)).sum(axis=1) / np.maximum(((a | b) != 0).sum(axis=1), 1)

@@ -314,6 +314,34 @@ def test_common_passage_and_near_copies(spark, monkeypatch):
     assert linked(spark, texts) == exact_links(texts)
 
 
+def test_buckets_of_one_group_and_a_few_others_are_not_split(spark, monkeypatch):
+    """120 edited copies of a text, too unlike to leave their buckets, with pairs of others that quote it: all links, and no bucket is split."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 12)
+    monkeypatch.setattr(jaccard_join, "SLICE", 20)
+    rows = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    staged = jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", counted)
+    rng = np.random.default_rng(5)
+    base, texts = [f"b{j}" for j in range(200)], []
+    for k in range(120):
+        own = list(base)
+        for at in rng.integers(0, 200, 6):
+            own[at] = f"edit{k}x{at}"
+        texts.append(" ".join(own))
+    for k in range(4):
+        own = base[20 * k : 20 * k + 60] + [f"o{k}x{j}" for j in range(100)]
+        texts += [" ".join(own), " ".join([*own[:-1], "last"])]
+    want = exact_links(texts)
+    assert linked(spark, texts) == want and all(want[k][1] for k in range(120, 128))
+    assert [n for name, n in rows if name == "rooted"] and sum(n for name, n in rows if name == "beside") and [name for name, _ in rows].count("paths") == 1
+
+
 def test_recall_on_random_texts(spark, ordinary):
     """Recall against brute force on edited copies of all rates; every link above the threshold is found."""
     rng = np.random.default_rng(8)

@@ -6,8 +6,8 @@ of fewer tokens keeps all); these are the first steps of all runs at once, and a
 a chance below exp(-threshold * SAMPLED), under 1e-6, which is the recall that the runs aim at. The sets that chose a token form a
 bucket. A bucket of up to ``SMALL`` sets is compared by brute force on sketches (one-permutation minhash). The sets of a larger one are held against
 three of them (the pivots) on sketches: sets over ``LIKE`` are linked to the pivot, and those over ``SAME`` leave the bucket; distance being a metric, what is
-similar to one that left is near enough the pivot to be linked to it too. A bucket of whose sets all but ``SMALL`` are one component of the links to pivots
-so far is done by brute force: these few are held against all, and the rest are one candidate group already.
+similar to one that left is near enough the pivot to be linked to it too. A bucket whose sets, all but ``SMALL``, are linked to the same pivot
+is done by brute force: these few are held against all, and the rest are one candidate group already.
 So a group of near copies ends as links, and only what differs is split: each of these sets
 extends the path by further tokens of its sample that have large buckets too, chosen by a hash of path and token, ``BRANCH`` on average and more from a small sample before step ``BOOSTED``, ``LEAP`` steps
 at a time. Texts that only share a passage part there, as fewer than one of their extensions is common on
@@ -199,7 +199,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     """The edges of one run, and the (path, vid) of the sets of first buckets that were split. sets: vid, steps, sketch."""
     paths = sets.select("vid", F.explode("steps").alias("path"))
-    found, links, split, wide, depth = [], [], None, None, 1
+    found, split, wide, depth = [], None, None, 1
     while True:
         # staged, so that the join stands on its own shuffles, which may be split where a path has many sets
         sizes = stage(paths.groupBy("path").count().where("count > 1"), "sizes")
@@ -221,10 +221,9 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
             one = lambda name, k: F.get(name, F.lit(k)).alias(f"{name}{k}")
             # dealt by set, as a hot path's sets are too many for one task
             held = large.join(pivots, "path").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", *[one(name, k) for name in ("pivots", "marks") for k in range(3)])
-            held = stage(held.mapInArrow(_against_pivots, "path long, vid long, a long, b long"), "pivots")
-            links.append(held.where("a is not null").select("a", "b"))
-            large, beside = _but_one_group(held.where("path is not null").select("path", "vid"), sets, links)
-            found += [links[-1], beside]
+            held = stage(held.mapInArrow(_against_pivots, "path long, vid long, near long, a long, b long"), "pivots")
+            large, beside = _but_one_group(held.where("path is not null").select("path", "vid", "near"), sets)
+            found += [held.where("a is not null").select("a", "b"), beside]
             if large.isEmpty():
                 break
             if depth == 1:
@@ -248,22 +247,21 @@ def _one_run(sets: DataFrame, run: int) -> tuple[DataFrame, DataFrame | None]:
     return edges, split
 
 
-def _but_one_group(large: DataFrame, sets: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The rows (path, vid) of buckets that go on, and the pairs (a, b) of those that don't: whose sets, all but SMALL, are one component of ``links``."""
-    edges = links[0]
-    for part in links[1:]:
-        edges = edges.unionByName(part)
-    roots = components(edges).withColumnRenamed("vertex", "vid")
-    rows = stage(large.join(roots, "vid", "left").select("path", "vid", F.coalesce("root", "vid").alias("root")), "rooted")
-    groups = rows.groupBy("path", "root").count().groupBy("path").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("n"))
-    groups = stage(groups.withColumn("others", F.col("n") - F.col("most.count")).where(F.col("others") <= SMALL).select("path", F.col("most.root").alias("own"), "n", "others"), "groups")
+def _but_one_group(large: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (path, vid) of buckets that go on, and the pairs (a, b) of those that don't: whose sets, all but SMALL, are linked to the same pivot.
+
+    large: path, vid, near (bit k: linked to the bucket's pivot k).
+    """
+    to = [F.struct(F.sum(F.shiftright("near", k) % 2).alias("count"), F.lit(1 << k).cast("long").alias("bit")) for k in range(3)]
+    groups = large.groupBy("path").agg(F.greatest(*to).alias("most"), F.count("*").alias("n"))
+    groups = stage(groups.withColumn("others", F.col("n") - F.col("most.count")).where(F.col("others") <= SMALL).select("path", F.col("most.bit").alias("bit"), "n", "others"), "alike")
     # a hot path's sets are too many for one task: they lie in slices, each with the few others
     slices = F.ceil(F.col("n") / SLICE).cast("int")
-    mixed = rows.join(groups.where("others > 0"), "path").withColumn("other", F.col("root") != F.col("own"))
+    mixed = large.join(groups.where("others > 0"), "path").withColumn("other", F.col("near").bitwiseAND(F.col("bit")) == 0)
     mixed = mixed.withColumn("slice", F.explode(F.when(F.col("other"), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.pmod(F.xxhash64("vid"), slices).cast("int")))))
     mixed = mixed.select(F.xxhash64("path", "slice").alias("path"), "vid", "other").repartition("vid").join(sets.select("vid", "sketch"), "vid").select("path", "vid", "sketch", "other")
     beside = stage(mixed.repartition("path").sortWithinPartitions("path").mapInArrow(_beside, "a long, b long"), "beside")
-    return rows.join(groups, "path", "left_anti").select("path", "vid"), beside
+    return large.join(groups, "path", "left_anti").select("path", "vid"), beside
 
 
 def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -272,7 +270,7 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, vid of the sets that stay in their bucket, and the links (a, b) to pivots, thinned to a forest with the same components."""
+    """path, vid of the sets that stay in their bucket, with the pivots they are linked to, and the links (a, b), thinned to a forest with the same components."""
     empty = bytes(BINS)
     rows = lambda column: np.frombuffer(b"".join(x or empty for x in column.to_pylist()), np.uint8).reshape(-1, BINS)
     for batch in batches:
@@ -281,12 +279,13 @@ def _against_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         own, path, vid = rows(batch["sketch"]), batch["path"].to_numpy(), batch["vid"].to_numpy()
         shares = np.stack([_share(own, rows(batch[f"marks{k}"])) for k in range(3)], axis=1)
         names = np.stack([batch[f"pivots{k}"].fill_null(-1).to_numpy() for k in range(3)], axis=1)
-        which, k = np.nonzero((shares >= LIKE) & (names >= 0) & (names != vid[:, None]))
+        near = (shares >= LIKE) & (names >= 0)
+        which, k = np.nonzero(near & (names != vid[:, None]))
         a, b = forest(vid[which], names[which, k]) if len(which) else (np.empty(0, np.int64),) * 2
         stays = ~(shares >= SAME).any(axis=1)
         none = lambda n: pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(path[stays]), pa.array(vid[stays]), none(int(stays.sum())), none(int(stays.sum()))], names=["path", "vid", "a", "b"])
-        yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), pa.array(a), pa.array(b)], names=["path", "vid", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(path[stays]), pa.array(vid[stays]), pa.array(near[stays] @ np.array([1, 2, 4])), none(int(stays.sum())), none(int(stays.sum()))], names=["path", "vid", "near", "a", "b"])
+        yield pa.RecordBatch.from_arrays([none(len(a)), none(len(a)), none(len(a)), pa.array(a), pa.array(b)], names=["path", "vid", "near", "a", "b"])
     release()
 
 

@@ -728,3 +728,28 @@ def test_gradients_are_differences(spark):
         moved = [attention_lm.Attention(**{n: getattr(model, n) + (s * 1e-2 * direction).astype(np.float32) if n == p else getattr(model, n) for n in model.parameters()}) for s in (1, -1)]
         slope = (loss(moved[0]) - loss(moved[1])) / 2e-2
         assert abs(slope - (grads[p] * direction).sum()) < 0.03 * max(abs(slope), 0.05)
+
+
+def test_all_windows_are_learnt_from(monkeypatch):
+    """Counts for the start and the runs of training hold every target of every text once, whatever the runs' length."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(attention_lm, "LOCAL", 10)
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 15, 16, 17, 500, 40, 0, 3000, 31]
+    kinds = [rng.integers(0, attention_lm.END, n) for n in lengths]
+    inputs = [rng.integers(0, attention_lm.INPUTS, n) for n in lengths]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.astype("<u2").tobytes() for x in inputs], pa.binary()), pa.array([x.astype("u1").tobytes() for x in kinds], pa.binary())], names=["inputs", "kinds"])
+    want = Counter()
+    for entry, kind in zip(inputs, kinds, strict=True):
+        want.update(zip([attention_lm.START, *entry.tolist()], [*kind.tolist(), attention_lm.END], strict=True))
+    batches = [batch.slice(0, 4), batch.slice(4, 4), batch.slice(8)]
+    (counted,) = attention_lm._pairs(iter(batches))
+    table = np.frombuffer(counted["weights"][0].as_py(), np.float64).reshape(-1, attention_lm.CLASSES)
+    assert counted["n"][0].as_py() == sum(want.values()) and {(a, b): table[a, b] for a, b in zip(*(x.tolist() for x in np.nonzero(table)), strict=True)} == want
+    got, sizes = Counter(), []
+    for rows, wanted in attention_lm._runs(iter(batches)):
+        sizes.append(len(rows))
+        w, t = np.nonzero(wanted >= 0)
+        got.update(zip(rows[w, attention_lm.CONTEXT + t].tolist(), wanted[w, t].tolist(), strict=True))
+    assert got == want and all(5 <= n <= 15 for n in sizes)

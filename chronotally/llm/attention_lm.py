@@ -104,18 +104,6 @@ class Chain:
         return kind, self.input_id[first], np.log10(np.maximum(share, 1e-300))
 
 
-def _with_ids(path: str):
-    """Words with their subword ids, as 16-bit integers: each word of the corpus is cut once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, spaces=True)
-        for batch in batches:
-            ids, at = segment(tool, batch["word"].cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], _packed(ids.astype("<u2"), at)], names=["word", "n", "ids"])
-
-    return run
-
-
 def _packed(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """``flat`` cut at ``offsets`` into binary values."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
@@ -482,7 +470,7 @@ def _order(vocab: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket_of(a[order], buckets), np.arange(buckets + 1))
 
 
-SPLIT = "blk long, bucket long, words array<string>, n binary, doc_id long, held_out boolean, codes binary"
+SPLIT = "blk long, bucket long, words string, n binary, doc_id long, held_out boolean, codes binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -516,36 +504,49 @@ def _split(buckets: int):
             n = np.bincount(words.codes[np.repeat(learnt, words.counts)], minlength=len(words.vocab))[order].astype("<u4")
             used = np.flatnonzero(np.diff(bounds))
             k = len(used)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(bounds[used], bounds[-1]).astype(np.int32)), sorted_words) if k else pa.array([], pa.list_(pa.string()))
+            # no word has a space, so a bucket's words are one string
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(bounds[used], bounds[-1]).astype(np.int32)), sorted_words), " ") if k else pa.array([], pa.string())
             packed = _packed(n, np.append(bounds[used], bounds[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, blk), pa.int64()), pa.array(used, pa.int64()), lists, packed, pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, blk), pa.int64()), pa.array(used, pa.int64()), joined, packed, pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary())], names=names)
             place = np.empty(len(order), dtype="<u4" if len(order) > 1 << 16 else "<u2")
             place[order] = np.arange(len(order))
             codes = place[words.codes]
             d = table.num_rows
             one = lambda name: table[name].combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, blk), pa.int64()), pa.nulls(d, pa.int64()), pa.nulls(d, pa.list_(pa.string())), pa.nulls(d, pa.binary()), one("doc_id"), one("held_out"), _packed(codes, words.offsets)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, blk), pa.int64()), pa.nulls(d, pa.int64()), pa.nulls(d, pa.string()), pa.nulls(d, pa.binary()), one("doc_id"), one("held_out"), _packed(codes, words.offsets)], names=names)
 
     return run
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists, n = batch["words"], np.frombuffer(b"".join(batch["n"].to_pylist()), "<u4").astype(np.int64)
+def _asked_words(column: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of all rows of ``_split``, and the offsets of each row."""
+    lists = pc.split_pattern(column.combine_chunks(), " ")
+    return lists.flatten().dictionary_encode(), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))])
+
+
+def _word_counts(path: str):
+    """A bucket's words with their training counts and subword ids, as 16-bit integers: each word of the corpus is cut once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, _ = _asked_words(table["words"])
+        n = np.bincount(words.indices.to_numpy(zero_copy_only=False), weights=_unpacked(table["n"], "<u4")[0], minlength=len(words.dictionary)).astype(np.int64)
         learnt = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([lists.flatten().take(pa.array(learnt)), pa.array(n[learnt])], names=["word", "n"])
+        vocab = words.dictionary.take(pa.array(learnt))
+        parts = [segment(encoder(path, spaces=True), vocab[at : at + 20_000].cast(pa.large_string())) for at in range(0, len(vocab), 20_000)]
+        ids = np.concatenate([p[0] for p in parts] or [np.zeros(0)]).astype("<u2")
+        sizes = np.concatenate([np.diff(p[1]) for p in parts] or [np.zeros(0, np.int64)])
+        return pa.table({"word": vocab, "n": pa.array(n[learnt]), "ids": _packed(ids, np.concatenate([[0], np.cumsum(sizes)]))})
+
+    return run
 
 
 def _answer(asked: pa.Table, known: pa.Table, describe) -> pa.Table:
     """For each row of asked words: count, class, input and log share of each, packed. describe: of words that no training text has."""
-    lists = asked["words"].combine_chunks()
-    flat = lists.flatten()
-    distinct = flat.dictionary_encode()
+    distinct, offsets = _asked_words(asked["words"])
     found = pc.index_in(distinct.dictionary, value_set=known["word"].combine_chunks())
     new = pc.is_null(found).to_numpy(zero_copy_only=False)
     at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
     made = dict(zip(("kind", "input", "share"), describe(distinct.dictionary.filter(pa.array(new)).cast(pa.large_string())), strict=True)) if new.any() else {}
-    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))])
     codes = distinct.indices.to_numpy(zero_copy_only=False)
 
     def packed(name: str, kind: str) -> pa.Array:
@@ -626,10 +627,12 @@ def _learnt(docs: DataFrame) -> tuple[Fitted, DataFrame]:
     """The model of the rows of ``docs`` that are not held out, and all rows coded."""
     parts, buckets = split(_rows(docs))
     n_docs = parts.where("bucket is null and not held_out").count()
-    counts = stage(parts.where("bucket is not null").select("words", "n").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_with_ids(vocabulary_path(VOCABULARY)), "word string, n long, ids binary"), "words")
+    counts = stage(parts.where("bucket is not null").select("bucket", "words", "n").groupBy("bucket").applyInArrow(_word_counts(vocabulary_path(VOCABULARY)), "word string, n long, ids binary"), "words")
     chain = learn_chain(counts, n_docs)
     coded = code(parts, buckets, counts, chain)
     drop(parts)
+    # shuffle files of what is staged by now go when the driver's JVM collects; training deals the coded documents again
+    docs.sparkSession.sparkContext._jvm.System.gc()
     prior = np.append(chain.class_tokens[:-1], n_docs) + 1.0
     return Fitted(counts, chain, learn_attention(coded.where("not held_out").select("inputs", "kinds"), prior / prior.sum())), coded
 

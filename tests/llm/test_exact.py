@@ -753,3 +753,12 @@ def test_all_windows_are_learnt_from(monkeypatch):
         w, t = np.nonzero(wanted >= 0)
         got.update(zip(rows[w, attention_lm.CONTEXT + t].tolist(), wanted[w, t].tolist(), strict=True))
     assert got == want and all(5 <= n <= 15 for n in sizes)
+
+
+def test_scoring_reads_codes_not_texts(spark, ordinary):
+    """The last step of the scores reads the staged codes of the words, and no texts to be split and asked for again."""
+    from .conftest import make
+
+    scored = attention_lm.score(make(spark, ordinary[:30]))
+    plan = scored._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") and all("/coded-" in f for f in scored.inputFiles())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronotally.functions import ids, text
 from chronotally.functions.times import parse_time
-from chronotally.operators import graph, temporal
+from chronotally.operators import graph, project_stage, temporal
 from chronotally.operators.events import EVENT, conform
 from chronotally.operators.project_stage import Rules
 from chronotally.plans.engine import Engine
@@ -18,6 +18,7 @@ from chronotally.plans.guard import GuardError, ReadOnly, check_size
 from chronotally.plans.projection import Projection
 from chronotally.plans.statements import StatementError, is_statement, parse
 from chronotally.sources import records, store
+from chronotally.sources.driver import driver_events
 from chronotally.streaming import refresh
 
 START = datetime(2026, 8, 28, 8, tzinfo=timezone.utc)
@@ -181,6 +182,50 @@ def test_registered_handoffs_match_their_sql_with_sessions_that_only_stop(spark,
         assert clean(got.select(*want.columns).collect()) == clean(want.fetchall()), name
 
 
+def test_unit_components_hold_a_turn_against_all_earlier_editors(spark, tmp_path):
+    """An editor beyond the 32 before a turn, which all go on beside it, and dense random editors of few paths and of none, against DuckDB and all pairs in Python."""
+    import random
+    from collections import Counter
+
+    import __spark_entry__ as entry
+
+    rng, start, rows = random.Random(3), datetime(2024, 1, 15), []
+
+    def add(minutes, user, event_type, k):
+        rows.append((len(rows) + 1, start + timedelta(minutes=minutes), user, event_type, 1.0, None if k is None else json.dumps({"k": k})))
+
+    add(0, 2, "purchase", 5)
+    add(20 * 60, 0, "signup", 1)
+    for n in range(40):
+        add(20 * 60 + 2 + 2 * n, 1, "signup", 1)
+        add(20 * 60 + 3 + 2 * n, 1, "purchase", 5)
+    add(22 * 60, 0, "purchase", 5)
+    for n in range(400):
+        kind = rng.choice(("purchase", "purchase", "signup", "view", "click"))
+        add(rng.choice((rng.randint(0, 9000), 10 * rng.randint(0, 900))), 4 + rng.randrange(8), kind, rng.choice((0, 1, 2, 4, None)))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["unit_components"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(entry.oracle_sql()["unit_components"]).fetchall())
+    # the turn of user 0 and those of user 1 meet in the edit of user 2 alone
+    assert {n for root, n in got if root.startswith(("trn_u0-", "trn_u1-", "trn_u2-"))} == {42}
+
+    rules = Rules(path_link_s=48 * 3600, fan_out=None, hot_share=2.0)
+    p = Projection(driver_events(spark, str(tmp_path)), rules=rules)
+    spans = {}
+    turns = {r.turn_id: r for r in p.turns.collect()}
+    for c in p.tool_calls.where("tool_category = 'file_edit' and paths[0] is not null").collect():
+        spans.setdefault((c.project_id, c.paths[0], c.turn_id), []).append(c.at)
+    spans = [(project, path, min(at), max(at), turns[turn]) for (project, path, turn), at in spans.items()]
+    want = Counter()
+    for project, path, first, _, y in spans:
+        fits = [(x.session_id == y.session_id, last, x.turn_id) for own, other, begun, last, x in spans if (own, other) == (project, path) and (begun, x.session_id, x.turn_index) < (first, y.session_id, y.turn_index) and (x.session_id == y.session_id or x.last_event_at < y.started_at or x.started_at > y.last_event_at) and first - last <= timedelta(hours=48)]
+        if fits:
+            want[max(fits)[2], y.turn_id] += 1
+    assert len(want) > 50 and Counter(map(tuple, project_stage.path_links(p.turns, p.sessions, p.tool_calls, rules).collect())) == want
+
+
 def test_commits(spark):
     s = Story()
     s.add("session_started", head="h0")
